@@ -175,8 +175,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
     Rows that pass the base rules are judged by their group's estimate; a null
     language or source is a group of its own.  A row is rejected if its squared
-    distance exceeds CUTOFF on a bad side: more symbols or repeats, or a stranger
-    mean word length, than its group's centre.
+    Mahalanobis distance exceeds CUTOFF.  Repeated rows are judged alike.
     """
     stats = settle(_features(statistics(docs)).withColumn("base_failed", base_failed()))
     passed = stats.where(~F.col("base_failed"))
