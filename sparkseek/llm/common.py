@@ -16,25 +16,30 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only a local master
-    may go without that setting; it then gets a temporary folder.
+    Only a local master may go without that setting; it then gets a temporary
+    folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
+    where = context.getCheckpointDir()
+    if where is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
         if not where:
             if not context.master.startswith("local[") and context.master != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             where = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(where)
+    return where
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and cut its lineage there."""
+    shared_folder(df.sparkSession)
     out = df.checkpoint(eager=True)
-    del df
     gc.collect()
-    context._jvm.System.gc()  # shuffle files of finished steps go when their plans are collected
+    df.sparkSession.sparkContext._jvm.System.gc()  # shuffle files of finished steps go when their plans are collected
     return out
 
 
