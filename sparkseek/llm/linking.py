@@ -18,19 +18,33 @@ from .common import connected_components, settle
 
 #: A link needs PERCENT * union <= 100 * intersection.
 PERCENT = 80
-_RING = 1 - PERCENT / 100 + 1e-9
+RING = 1 - PERCENT / 100 + 1e-9
 
 
 def is_link() -> Column:
     return 100 * F.col("shared") >= PERCENT * F.col("either")
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def ring(u: str, w: str) -> Column:
+    """Whether rows (node, apart, own, led) of one bucket are left to compare:
+    ``u`` outside the leader's component, ``w`` any member."""
+    return (
+        (F.col(f"{u}.own") != F.col(f"{w}.own"))
+        & (F.abs(F.col(f"{u}.apart") - F.col(f"{w}.apart")) <= RING)
+        & ((F.col(f"{w}.own") == F.col(f"{w}.led")) | (F.col(f"{u}.node") < F.col(f"{w}.node")))
+    )
+
+
+def link(
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], search: Callable[[DataFrame], DataFrame]
+) -> tuple[DataFrame, DataFrame]:
     """(component of each linked node, verified links).
 
-    ``members`` (key, node, leader) holds the buckets of two nodes or more;
-    ``verify`` turns pairs (a, b) into (a, b, shared, either), the exact sizes of
-    the intersection and the union of their sets.
+    ``members`` (key, node, leader) holds the buckets of two nodes or
+    more.  ``verify`` turns pairs (a, b) into (a, b, shared, either), the exact
+    sizes of the intersection and the union of their sets.  ``search`` lists the
+    pairs left to compare among rows (key, node, apart, own, led): a member's
+    distance from the bucket's leader, its component and the leader's.
     """
     pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     star = settle(verify(pairs))
@@ -40,17 +54,8 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[
     lead = found.select(F.col("node").alias("leader"), F.col("component").alias("led"))
     apart = star.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("shared") / F.col("either")).alias("apart"))
     rows = members.where("node <> leader").join(own, "node", "left").join(lead, "leader", "left").join(apart, ["leader", "node"])
-    rows = rows.select("key", "node", "apart", F.coalesce("own", "node").alias("own"), F.coalesce("led", "leader").alias("led"))
-    rows = settle(rows)
-    u, w = rows.where("own <> led").alias("u"), rows.alias("w")
-    near = (
-        (F.col("u.key") == F.col("w.key"))
-        & (F.col("u.own") != F.col("w.own"))
-        & (F.abs(F.col("u.apart") - F.col("w.apart")) <= _RING)
-        & ((F.col("w.own") == F.col("w.led")) | (F.col("u.node") < F.col("w.node")))
-    )
-    more = u.join(w, near).select(F.least("u.node", "w.node").alias("a"), F.greatest("u.node", "w.node").alias("b")).distinct()
-    more = settle(verify(more)).where(is_link()).select("a", "b")
+    rows = settle(rows.select("key", "node", "apart", F.coalesce("own", "node").alias("own"), F.coalesce("led", "leader").alias("led")))
+    more = settle(verify(settle(search(rows)))).where(is_link()).select("a", "b")
     if more.isEmpty():
         return found, links
     links = links.unionByName(more)

@@ -60,6 +60,29 @@ def variants(rng, n):
         yield " ".join(words)
 
 
+def shared_passage(rng, n):
+    """Texts of which a long passage is common, so that many pairs are nearly alike."""
+    passage = [f"p{rng.randint(0, 900)}" for _ in range(140)]
+    for _ in range(n):
+        own = [f"y{rng.randint(0, 10**6)}" for _ in range(rng.randint(15, 30))]
+        yield " ".join(passage + own)
+
+
+def test_a_shared_passage_keeps_every_link(spark):
+    rng = random.Random(11)
+    texts = dict(enumerate([*shared_passage(rng, 120), *variants(rng, 60)]))
+    for i in range(0, 120, 7):
+        texts[1000 + i] = texts[i] + " more words"
+    rows = [(i, t, "en", "a") for i, t in texts.items()]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(documents(spark, rows), 2).collect()}
+    assert got == brute_components(texts, 2)
+
+
+def test_blocks_of_a_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    test_a_shared_passage_keeps_every_link(spark)
+
+
 def test_a_large_group_of_variants_keeps_every_link(spark):
     rng = random.Random(7)
     texts = dict(enumerate([*variants(rng, 150), *variants(rng, 40), *(" ".join(f"q{rng.randint(0, 99)}" for _ in range(60)) for _ in range(40))]))
@@ -101,7 +124,7 @@ def brute_lines(texts):
         for pos, line in enumerate((text or "").split("\n")):
             if normal(line):
                 first.setdefault(normal(line), (doc, pos))
-    sets = [(at, windows(line)) for line, at in first.items()]
+    sets = [(at, windows(line)) for line, at in first.items() if len(line.split()) >= line_dedup.FUZZY_FROM]
     for i, (a, x) in enumerate(sets):
         for b, y in sets[i + 1 :]:
             if min(len(x), len(y)) * 100 >= max(len(x), len(y)) * 80:
