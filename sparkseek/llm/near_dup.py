@@ -18,13 +18,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, settle
-from .linking import link
+from .linking import RING, link
 from .textkernel import Words, mix64, shingles, slices, utf8
 
 #: Bands and rows of a band: a pair of similarity 0.8 shares no band with
 #: probability (1 - 0.8**5)**32, three in a million.
 BANDS, ROWS = 32, 5
-_SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)
+#: Coordinates in all; those beyond the bands only sharpen the estimate.
+COORDINATES = 320
+#: Least share of equal coordinates of a pair that is still compared; a pair of
+#: similarity 0.8 falls below it with a probability of three in 100,000.
+LEAST_EQUAL = 0.71
+#: Rows of a block when a bucket is searched.
+BLOCK = 1024
+_SHIFTS = np.arange(COORDINATES, dtype=np.uint32)
 
 
 def _second(x: np.ndarray) -> np.ndarray:
@@ -48,7 +55,7 @@ def signature(shingle_set: np.ndarray) -> np.ndarray:
 
 def bands(coordinates: np.ndarray) -> np.ndarray:
     """One 64-bit key per band."""
-    rows = coordinates.reshape(BANDS, ROWS).astype(np.uint64)
+    rows = coordinates[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
     key = np.arange(BANDS, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for i in range(ROWS):
@@ -65,23 +72,26 @@ def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the shingle set, band keys; no words: nulls."""
+    """doc_id, n_shingles, digest of the shingle set, band keys, the low bytes of
+    the coordinates; no words: nulls."""
     bound_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, keys = [], [], []
+            counts, digests, keys, marks = [], [], [], []
             for found in _sets(batch.column(1), size):
                 counts.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                keys.append(bands(signature(found)) if len(found) else None)
+                signed = signature(found) if len(found) else None
+                keys.append(None if signed is None else bands(signed))
+                marks.append(None if signed is None else signed.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "digest", "bands"],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                ["doc_id", "n_shingles", "digest", "bands", "marks"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n_shingles bigint, digest binary, bands array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n_shingles bigint, digest binary, bands array<bigint>, marks binary")
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -105,6 +115,64 @@ def _compare(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return rows.select("a", "b", "left", "right").mapInArrow(compare, f"a {kind}, b {kind}, shared bigint, either bigint")
 
 
+def _block_pairs(bands_of: np.ndarray, marks: np.ndarray, apart: np.ndarray, own: np.ndarray, led: np.ndarray, node: np.ndarray, queries: int, key: int) -> tuple:
+    """Places of query and target of each pair to compare; queries come first.
+    A pair is listed in the first band that it shares only."""
+    found = []
+    for q in range(queries):
+        t = np.arange(queries, len(node))
+        t = t[(own[t] != own[q]) & (np.abs(apart[t] - apart[q]) <= RING) & ((own[t] == led[t]) | (node[q] < node[t]))]
+        if len(t):
+            t = t[(marks[t] == marks[q]).mean(axis=1) >= LEAST_EQUAL]
+        if len(t):
+            first = (bands_of[t] == bands_of[q]).argmax(axis=1)
+            t = t[bands_of[q][first] == key]
+            found.append((np.full(len(t), q), t))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int))
+
+
+def _search(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Pairs (a, b) left to compare: in each bucket with members outside the
+    leader's component, these against all members, in blocks."""
+    hot = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("own") != F.col("led")).alias("open")).where("open")
+    rows = rows.join(hot.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "key")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parts = [
+        rows.where("own <> led").select("key", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(0).alias("role"), "node", "own", "led", "apart"),
+        rows.select("key", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(1).alias("role"), "node", "own", "led", "apart"),
+    ]
+    rows = parts[0].unionByName(parts[1]).join(heads, "node")
+    names = ["key", "i", "j", "role", "node", "own", "led", "apart", "bands", "marks"]
+    rows = rows.select(*names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(table: pa.Table) -> pa.RecordBatch:
+            value = {c: table[c].to_numpy() for c in names[:8]}
+            sets = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            marks = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            a, b = [], []
+            edge = np.flatnonzero((np.diff(value["key"]) != 0) | (np.diff(value["i"]) != 0) | (np.diff(value["j"]) != 0)) + 1
+            for lo, hi in zip([0, *edge], [*edge, len(sets)], strict=True):
+                queries = int((value["role"][lo:hi] == 0).sum())
+                q, t = _block_pairs(sets[lo:hi], marks[lo:hi], value["apart"][lo:hi], value["own"][lo:hi], value["led"][lo:hi], value["node"][lo:hi], queries, value["key"][lo])
+                a.append(np.minimum(value["node"][lo + q], value["node"][lo + t]))
+                b.append(np.maximum(value["node"][lo + q], value["node"][lo + t]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+        held: pa.Table | None = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = np.stack([held[c].to_numpy() for c in names[:3]])
+            edge = np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0))
+            if len(edge):  # the last group may go on in the next batch
+                yield close(held.slice(0, int(edge[-1]) + 1))
+                held = held.slice(int(edge[-1]) + 1)
+        if held is not None and held.num_rows:
+            yield close(held)
+
+    return rows.mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id, kept for every row of ``docs``.
 
@@ -118,14 +186,16 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     signed = settle(signatures(docs, size))
     real = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = settle(real.groupBy("digest").agg(F.min("doc_id").alias("class_id")))
-    heads = real.join(classes, (real["doc_id"] == classes["class_id"]) & (real["digest"] == classes["digest"])).select("doc_id", "bands").distinct()
-    keys = heads.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"))
+    heads = real.join(classes, (real["doc_id"] == classes["class_id"]) & (real["digest"] == classes["digest"]))
+    heads = heads.select(F.col("doc_id").alias("node"), "bands", "marks").distinct()
+    keys = heads.select(F.explode("bands").alias("key"), "node")
     buckets = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").drop("last")
     members = settle(keys.join(buckets, "key"))
     involved = members.select("node").distinct()
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(involved, "node", "left_semi")
     texts = settle(texts.dropDuplicates(["node"]))
-    found, _ = link(members, lambda pairs: _compare(pairs, texts, size))
+    signs = settle(heads.join(involved, "node", "left_semi").dropDuplicates(["node"]))
+    found, _ = link(members, lambda pairs: _compare(pairs, texts, size), lambda rows: _search(rows, signs))
     named = signed.join(classes, "digest", "left").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
     # Texts of one doc_id may differ; the document has the least of their components.
     component = F.least(F.coalesce("component", "class_id", "doc_id"), F.col("doc_id"))
