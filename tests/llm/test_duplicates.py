@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkseek.llm import common, line_dedup, near_dup
 from sparkseek.llm.queries import op3_near_dup, op10_line_dedup
@@ -173,3 +174,16 @@ def test_fuzzy_lines_keep_the_earliest(spark):
 def test_line_dedup_has_no_python_in_its_plan(spark):
     plan = line_dedup.dedup_lines(documents(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_line_bands_find_pairs_near_the_limit(spark):
+    """Sets of 15 random shingle hashes in all, 12 of them shared: nearly all such pairs have an equal band."""
+    rng = np.random.default_rng(7)
+    sides = [0] * 12 + [1, 1, 2]
+    rows = [(pair, side, int(x)) for pair in range(600) for side, x in zip(sides, rng.integers(0, 2**32, 15), strict=True)]
+    df = spark.createDataFrame(rows, "pair int, side int, x bigint")
+    n = line_dedup.BANDS * line_dedup.ROWS
+    minima = [F.min(line_dedup._mixed(i)).alias(f"m{i}") for i in range(n)]
+    one, two = (df.where(F.col("side") != gone).groupBy("pair").agg(*minima).orderBy("pair").toPandas().to_numpy()[:, 1:] for gone in (1, 2))
+    equal = (one == two).reshape(600, line_dedup.BANDS, line_dedup.ROWS).all(axis=2).any(axis=1)
+    assert equal.mean() >= 0.98
