@@ -187,3 +187,10 @@ def test_line_bands_find_pairs_near_the_limit(spark):
     one, two = (df.where(F.col("side") != gone).groupBy("pair").agg(*minima).orderBy("pair").toPandas().to_numpy()[:, 1:] for gone in (1, 2))
     equal = (one == two).reshape(600, line_dedup.BANDS, line_dedup.ROWS).all(axis=2).any(axis=1)
     assert equal.mean() >= 0.98
+
+
+def test_short_lines_have_near_copies(spark):
+    lines = ["a thonnd in. onwhingon and.", "thonnd in. onwhingon and.", "quite another line", "short", "shore"]
+    rows = [(i, line, "en", "a") for i, line in enumerate(lines)]
+    got = {r.doc_id: r.lines_dropped for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 0, 4: 0}
