@@ -194,3 +194,45 @@ def test_short_lines_have_near_copies(spark):
     rows = [(i, line, "en", "a") for i, line in enumerate(lines)]
     got = {r.doc_id: r.lines_dropped for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
     assert got == {0: 0, 1: 1, 2: 0, 3: 0, 4: 0}
+
+
+def every_window(line):
+    return {line[i : i + 8] for i in range(max(len(line) - 7, 1))}
+
+
+def all_window_lines(texts):
+    """As brute_lines, with the windows at all characters of all lines."""
+    normal = lambda x: x.strip(" \t\r\x0b\x0c").lower()
+    places, holders, shared, union = {}, {}, {}, Union()
+    for doc, text in sorted(texts.items()):
+        for pos, line in enumerate((text or "").split("\n")):
+            if normal(line):
+                places.setdefault(normal(line), (doc, pos))
+    sets = {at: every_window(line) for line, at in places.items()}
+    for at, windows in sets.items():
+        for w in windows:
+            holders.setdefault(w, []).append(at)
+    for group in holders.values():
+        for i, a in enumerate(group):
+            for b in group[i + 1 :]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    for (a, b), n in shared.items():
+        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+            union.join(a, b)
+    keep = lambda doc, pos, line: not normal(line) or union.find(places[normal(line)]) == (doc, pos)
+    return {doc: None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if keep(doc, i, x)) for doc, text in texts.items()}
+
+
+def test_lines_match_all_pairs_over_all_windows(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r.doc_id: r.text for r in op10_line_dedup(spark, SF).collect()} == all_window_lines(texts)
+
+
+def test_lines_that_differ_within_long_words_stay(spark):
+    order = "order 1000000{} was paid by customer 2000000{} on the last day of the month of may"
+    lines = [order.format(*x) for x in (("0017365", "0931554"), ("9482201", "7118290"))]
+    lines += ["ofthonreat ernterea thtieati thlyor thount ingedre, the.", "ofthonreat ernterea thtieati thlyor thount ingedre, ble."]
+    lines += ["日本語のテスト😀 " * 3 + x for x in ("abcdefghijklmnopqrstuvwxyz\r0123456789", "abcdefghijklmnopqrstuvwxyz\r012345678x")]
+    texts = dict(enumerate(lines))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, [(i, x, "en", "a") for i, x in texts.items()])).collect()}
+    assert got == all_window_lines(texts) and [i for i in got if not got[i]] == [3, 5]
