@@ -24,8 +24,8 @@ HEAD, TAIL_CLASSES, LISTED = 23, 9, 65_536
 CLASSES = HEAD + TAIL_CLASSES
 #: Buckets of context words, hidden units, words on each side.
 CONTEXT, HIDDEN, SIDE = 2048, 16, 2
-#: One window of STRIDE is trained on, in every document; rounds of averaging.
-STRIDE, ROUNDS, RATE, BATCH = 16, 2, 0.05, 2048
+#: Rounds of averaging, which share all windows out among them; learning rate; windows of a step.
+ROUNDS, RATE, BATCH = 2, 0.05, 2048
 
 
 def _blocks(column: pa.Array) -> Iterator[Words]:
@@ -144,6 +144,12 @@ def _contexts(words: Words) -> np.ndarray:
     return out
 
 
+def _picked(words: Words, turn: int) -> np.ndarray:
+    """The windows of a round: every ROUNDS-th word of each text, so that the rounds hold each word once."""
+    at = np.arange(len(words.hash)) - np.repeat(words.row_words[:-1], np.diff(words.row_words))
+    return np.flatnonzero(at % ROUNDS == turn)
+
+
 def train(docs: DataFrame, words: Vocabulary) -> Network:
     """Parameters averaged over all tasks, weighted by their windows."""
     model = Network()
@@ -154,7 +160,7 @@ def train(docs: DataFrame, words: Vocabulary) -> Network:
             own, seen = Network(flat.copy()), 0
             for batch in batches:
                 for block in _blocks(batch.column(0)):
-                    picked = np.arange(turn * STRIDE // ROUNDS, len(block.hash), STRIDE)
+                    picked = _picked(block, turn)
                     if not len(picked):
                         continue
                     context, target = _contexts(block)[picked], words.look_up(block.hash[picked])[0]

@@ -121,6 +121,15 @@ def test_pseudo_likelihood(spark):
     assert lm_score.pseudo_likelihood(documents(spark, [])).collect() == []
 
 
+def test_the_network_trains_on_every_window(spark):
+    texts = ["one two three four five six seven eight nine ten", "short text"]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    model = lm_score.train(docs, lm_score.vocabulary(docs))
+    moved = (model.table != lm_score.Network().table).any(axis=2)
+    context = lm_score._contexts(Words(*utf8(pa.array(texts)), lower=True))
+    assert len(context) == 12 and all(moved[p, context[:, p]].all() for p in range(2 * lm_score.SIDE))
+
+
 def test_word_counts_are_exact(spark):
     n = lm_score.word_counts(documents(spark, [(1, "a b a", "en", "a"), (2, "A c", "en", "a")])).agg({"n": "sum", "word": "count"}).first()
     assert sorted(n) == [3, 5]
