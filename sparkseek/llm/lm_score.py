@@ -4,7 +4,8 @@ A small network reads the two words on each side of a masked one and gives the
 probability of its class; within a class, words go by their counts over the whole
 corpus.  Every executor task trains on its own share of the windows and the
 parameters are averaged, so what is gathered grows with the input but no text
-reaches the driver.  A document's score is the sum over its words.
+reaches the driver.  A document's score is the sum over its words; the counts of
+words beyond the listed ones are joined, once a document and word.
 """
 
 from __future__ import annotations
@@ -13,13 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, settle
 from .textkernel import Words, mix64, slices, utf8
 
-#: Frequent words with a class of their own, classes of the other words, listed words.
+#: Frequent words with a class of their own, classes of the other words, words whose
+#: counts every task holds; the counts of all others are joined.
 HEAD, TAIL_CLASSES, LISTED = 23, 9, 65_536
 CLASSES = HEAD + TAIL_CLASSES
 #: Buckets of context words, hidden units, words on each side.
@@ -49,7 +52,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Vocabulary:
     """The LISTED most frequent words with their counts, and totals of the rest."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, rest_words: np.ndarray, rest_counts: np.ndarray):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, rest_counts: np.ndarray):
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
         self.classes = np.full(len(words), -1)
@@ -58,40 +61,36 @@ class Vocabulary:
         self.classes[tail] = self.tail_class(self.words[tail])
         total = np.bincount(self.classes, self.counts, minlength=CLASSES) + np.concatenate((np.zeros(HEAD), rest_counts))
         self.total = np.maximum(total, 1.0)
-        mean = np.maximum(rest_counts, 1) / np.maximum(rest_words, 1)
         self.log_within = np.log(np.maximum(self.counts, 1) / self.total[self.classes])
-        self.log_other = np.log(np.minimum(mean / self.total[HEAD:], 1.0))
 
     @staticmethod
     def tail_class(words: np.ndarray) -> np.ndarray:
         return HEAD + (words % np.uint64(TAIL_CLASSES)).astype(np.int64)
 
-    def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class of each word, and its log probability within the class."""
+    def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class of each word, its log probability within the class, and whether it
+        is listed; that of any other word lacks the logarithm of its count."""
         classes = self.tail_class(words)
-        within = self.log_other[classes - HEAD]
+        within = -np.log(self.total[classes])
+        listed = np.zeros(len(words), bool)
         if len(self.words):
             at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-            hit = self.words[at] == words
-            classes = np.where(hit, self.classes[at], classes)
-            within = np.where(hit, self.log_within[at], within)
-        return classes, within
+            listed = self.words[at] == words
+            classes = np.where(listed, self.classes[at], classes)
+            within = np.where(listed, self.log_within[at], within)
+        return classes, within, listed
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    counts = settle(word_counts(docs))
+def vocabulary(counts: DataFrame) -> Vocabulary:
     listed = counts.orderBy(F.desc("n"), "word").limit(LISTED).toArrow()  # LISTED rows at most
     words = listed["word"].to_numpy().view(np.uint64)
     slot = F.pmod(F.col("word").cast("decimal(20,0)") + F.when(F.col("word") < 0, F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(F.lit("0").cast("decimal(20,0)")), F.lit(TAIL_CLASSES)).cast("int")
-    totals = counts.groupBy(slot.alias("slot")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()
-    rest_words, rest = np.zeros(TAIL_CLASSES), np.zeros(TAIL_CLASSES)
-    for row in totals:
-        rest_words[row["slot"]], rest[row["slot"]] = row["words"], row["n"]
-    own = (words % np.uint64(TAIL_CLASSES)).astype(np.int64)
+    rest = np.zeros(TAIL_CLASSES)
+    for row in counts.groupBy(slot.alias("slot")).agg(F.sum("n").alias("n")).collect():
+        rest[row["slot"]] = row["n"]
     n = listed["n"].to_numpy()
-    rest_words -= np.bincount(own, minlength=TAIL_CLASSES)
-    rest -= np.bincount(own, n, minlength=TAIL_CLASSES)
-    return Vocabulary(words, n.astype(float), rest_words, rest)
+    rest -= np.bincount((words % np.uint64(TAIL_CLASSES)).astype(np.int64), n, minlength=TAIL_CLASSES)
+    return Vocabulary(words, n.astype(float), rest)
 
 
 class Network:
@@ -188,16 +187,18 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     score alike.
     """
     bound_batches(docs.sparkSession)
-    words = vocabulary(docs)
+    word_n = settle(word_counts(docs))
+    words = vocabulary(word_n)
     flat = train(docs, words).flat
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Network(flat)
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            counts, sums = [], []
+            counts, sums, at_row, others, times = [], [], [], [], []
             for block in _blocks(batch.column(1)):
                 n = len(block.hash)
-                classes, total = words.look_up(block.hash)
+                classes, total, listed = words.look_up(block.hash)
                 total = total.copy()
                 context = _contexts(block)
                 for at in range(0, n, 16_384):
@@ -206,9 +207,38 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
                 running = np.concatenate(([0.0], np.cumsum(total)))
                 counts.append(np.diff(block.row_words))
                 sums.append(np.diff(running[block.row_words]))
-            counts = np.concatenate(counts) if counts else np.empty(0, np.int64)
-            sums = np.concatenate(sums) if sums else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.astype(np.int64)), pa.array(sums)], ["doc_id", "n_words", "log_likelihood"])
-
-    rows = docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words bigint, log_likelihood double")
+                begin = row
+                row += len(block.row_words) - 1
+                # Words beyond the list, once a row, for the join with their counts.
+                place = np.repeat(np.arange(begin, row), np.diff(block.row_words))[~listed]
+                word = block.hash[~listed]
+                order = np.lexsort((word, place))
+                place, word = place[order], word[order]
+                first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (word[1:] != word[:-1])))[: len(word)])
+                at_row.append(place[first])
+                others.append(word[first].view(np.int64))
+                times.append(np.diff(np.append(first, len(word))))
+            if not batch.num_rows:
+                continue
+            counts, sums, at_row, others, times = (np.concatenate(x) for x in (counts, sums, at_row, others, times))
+            heads = np.arange(row - batch.num_rows, row)
+            # A row's own record has no word, but a hash to spread it by.
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.append(heads, at_row)),
+                    pa.array(np.append(mix64(heads.astype(np.uint64)).view(np.int64), others)),
+                    pa.array(np.append(np.zeros(len(heads), np.int64), times)),
+                    pa.concat_arrays([batch.column(0), pa.nulls(len(times), batch.column(0).type)]),
+                    pa.array(np.append(counts, np.zeros(len(times), np.int64)).astype(np.int64)),
+                    pa.array(np.append(sums, np.zeros(len(times)))),
+                ],
+                ["row", "word", "times", "doc_id", "n_words", "part"],
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text").mapInArrow(scored, f"row bigint, word bigint, times bigint, doc_id {kind}, n_words bigint, part double")
+    rows = rows.join(word_n.withColumn("log_n", F.log("n")).drop("n"), "word", "left")
+    # log_n is null only for a row's own record, whose hash is no word.
+    value = F.col("part") + F.col("times") * F.when(F.col("times") > 0, F.col("log_n")).otherwise(0.0)
+    rows = rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum(value).alias("log_likelihood")).drop("row")
     return rows.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))

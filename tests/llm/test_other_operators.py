@@ -124,12 +124,25 @@ def test_pseudo_likelihood(spark):
 def test_the_network_trains_on_every_window(spark):
     texts = ["one two three four five six seven eight nine ten", "short text"]
     docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
-    model = lm_score.train(docs, lm_score.vocabulary(docs))
+    model = lm_score.train(docs, lm_score.vocabulary(lm_score.word_counts(docs)))
     moved = (model.table != lm_score.Network().table).any(axis=2)
     context = lm_score._contexts(Words(*utf8(pa.array(texts)), lower=True))
     assert len(context) == 12 and all(moved[p, context[:, p]].all() for p in range(2 * lm_score.SIDE))
 
 
+def test_words_beyond_the_list_have_their_own_counts(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(120) for _ in range(1 + 400 // (i + 1))]
+    rng.shuffle(words)
+    rows = [(i, " ".join(words[i::40]), "en", "a") for i in range(40)] + [(40, None, "en", "a"), (None, "v1 v119 v119", "en", "a")]
+    whole = lm_score.pseudo_likelihood(documents(spark, rows)).collect()
+    monkeypatch.setattr(lm_score, "LISTED", 30)
+    short = {r.doc_id: r for r in lm_score.pseudo_likelihood(documents(spark, rows)).collect()}
+    assert len(whole) == len(short) == 42
+    for r in whole:
+        assert short[r.doc_id].n_words == r.n_words and short[r.doc_id].log_likelihood == pytest.approx(r.log_likelihood)
+
+
 def test_word_counts_are_exact(spark):
     n = lm_score.word_counts(documents(spark, [(1, "a b a", "en", "a"), (2, "A c", "en", "a")])).agg({"n": "sum", "word": "count"}).first()
     assert sorted(n) == [3, 5]
