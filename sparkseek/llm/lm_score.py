@@ -1,34 +1,37 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A small network reads the two words on each side of a masked one and gives the
-probability of its class; within a class, words go by their counts over the whole
-corpus.  Every executor task trains on its own share of the windows and the
+probability of the word, as that of the way to it in a binary tree; each step
+depends on the context.  Frequent words are leaves of their own, all others share
+small leaves, in which they go by their counts over the whole corpus.  Every executor task trains on its own share of the windows and the
 parameters are averaged, so what is gathered grows with the input but no text
-reaches the driver.  A document's score is the sum over its words; the counts of
+reaches the driver.  A document's score is the sum over its words; the shares of
 words beyond the listed ones are joined, once a document and word.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, settle
 from .textkernel import Words, mix64, slices, utf8
 
-#: Frequent words with a class of their own, classes of the other words, words whose
-#: counts every task holds; the counts of all others are joined.
-HEAD, TAIL_CLASSES, LISTED = 23, 9, 65_536
-CLASSES = HEAD + TAIL_CLASSES
+#: Words that are leaves of their own, slots of all others (a power of two), words
+#: that share a leaf below a slot on average, at most, and nodes below the slots.
+LISTED, SLOTS, SHARED, BELOW = 65_536, 1024, 16, 65_536
 #: Buckets of context words, hidden units, words on each side.
 CONTEXT, HIDDEN, SIDE = 2048, 16, 2
 #: Rounds of averaging, which share all windows out among them; learning rate; windows of a step.
 ROUNDS, RATE, BATCH = 2, 0.05, 2048
+#: Parameters that travel together when they are averaged.
+PIECE = 1024
 
 
 def _blocks(column: pa.Array) -> Iterator[Words]:
@@ -49,84 +52,152 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _slot(bits: int) -> Column:
+    return F.expr(f"shiftrightunsigned(word, {64 - bits})")
+
+
+SLOT_BITS = SLOTS.bit_length() - 1
+
+
 class Vocabulary:
-    """The LISTED most frequent words with their counts, and totals of the rest."""
+    """A Huffman tree over the listed words and the slots of all others.
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, rest_counts: np.ndarray):
+    Below a slot the tree goes on by ``depth`` bits of the word's hash; ``depth``
+    grows with the number of words.  A node's prior is the log odds of its sides'
+    counts.  Words of one leaf below a slot go by their counts.
+    """
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, slots: np.ndarray, slot_counts: np.ndarray, depth: int):
         order = np.argsort(words)
-        self.words, self.counts = words[order], counts[order]
-        self.classes = np.full(len(words), -1)
-        self.classes[np.argsort(-self.counts, kind="stable")[:HEAD]] = np.arange(min(HEAD, len(words)))
-        tail = self.classes < 0
-        self.classes[tail] = self.tail_class(self.words[tail])
-        total = np.bincount(self.classes, self.counts, minlength=CLASSES) + np.concatenate((np.zeros(HEAD), rest_counts))
-        self.total = np.maximum(total, 1.0)
-        self.log_within = np.log(np.maximum(self.counts, 1) / self.total[self.classes])
-
-    @staticmethod
-    def tail_class(words: np.ndarray) -> np.ndarray:
-        return HEAD + (words % np.uint64(TAIL_CLASSES)).astype(np.int64)
-
-    def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Class of each word, its log probability within the class, and whether it
-        is listed; that of any other word lacks the logarithm of its count."""
-        classes = self.tail_class(words)
-        within = -np.log(self.total[classes])
-        listed = np.zeros(len(words), bool)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-            listed = self.words[at] == words
-            classes = np.where(listed, self.classes[at], classes)
-            within = np.where(listed, self.log_within[at], within)
-        return classes, within, listed
-
-
-def vocabulary(counts: DataFrame) -> Vocabulary:
+        self.words, self.depth = words[order], depth
+        self.slot_leaf = np.zeros(SLOTS, np.int64)
+        self.slot_leaf[slots] = len(words) + np.arange(len(slots))
+        weight = np.concatenate((counts[order], slot_counts)).astype(float)
+        n = len(weight)
+        heap = [(w, i) for i, w in enumerate(weight)]
+        heapq.heapify(heap)
+        total = np.concatenate((weight, np.zeros(max(n - 1, 0))))
+        up, right = np.full(len(total), -1), np.zeros(len(total), bool)
+        odds = np.zeros(max(n - 1, 0))
+        for node in range(n, 2 * n - 1):
+            (x, i), (y, j) = heapq.heappop(heap), heapq.heappop(heap)
+            up[i] = up[j] = node
+            right[j] = True
+            odds[node - n] = np.log(y / x)
+            heapq.heappush(heap, (x + y, node))
+        nodes, sides, at = [], [], np.arange(n)
+        while len(at) and (up[at] >= 0).any():  # as often as the tree is deep
+            nodes.append(up[at] - n)
+            sides.append(right[at])
+            at = np.where(up[at] >= 0, up[at], at)
+        nodes, sides = (np.array(x).reshape(len(nodes), n).T for x in (nodes, sides))
+        on = nodes >= 0
+        self.length = on.sum(axis=1)
+        self.begin = np.cumsum(self.length) - self.length
+        self.nodes, self.sides = nodes[on].astype(np.int32), sides[on]
+        self.inner = len(odds)
+        self.prior = np.concatenate((odds, np.zeros(BELOW if depth else 0))).astype(np.float32)
+
+    def listed(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf of each word in the Huffman tree, and whether the word is listed."""
+        leaf = self.slot_leaf[(words >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+        if not len(self.words):
+            return leaf, np.zeros(len(words), bool)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        hit = self.words[at] == words
+        return np.where(hit, at, leaf), hit
+
+    def paths(self, words: np.ndarray, leaf: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the word, node, side) of all steps to each word."""
+        length = self.length[leaf]
+        place = np.repeat(np.arange(len(words)), length)
+        at = np.arange(len(place)) + np.repeat(self.begin[leaf] - (np.cumsum(length) - length), length)
+        node, side = self.nodes[at], self.sides[at]
+        rest = np.flatnonzero(~hit)
+        if self.depth and len(rest):
+            steps = [(place, node, side)]
+            for t in range(1, self.depth + 1):
+                prefix = words[rest] >> np.uint64(64 - SLOT_BITS - t)
+                below = mix64((prefix >> np.uint64(1)) * np.uint64(64) + np.uint64(t)) % np.uint64(BELOW)
+                steps.append((rest, (self.inner + below.astype(np.int64)).astype(np.int32), (prefix & np.uint64(1)).astype(bool)))
+            place, node, side = (np.concatenate(x) for x in zip(*steps, strict=True))
+        return place, node, side
+
+
+def vocabulary(counts: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """The tree, and (word, log_share) of every word beyond the list: the exact
+    share of its count in its leaf's."""
     listed = counts.orderBy(F.desc("n"), "word").limit(LISTED).toArrow()  # LISTED rows at most
-    words = listed["word"].to_numpy().view(np.uint64)
-    slot = F.pmod(F.col("word").cast("decimal(20,0)") + F.when(F.col("word") < 0, F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(F.lit("0").cast("decimal(20,0)")), F.lit(TAIL_CLASSES)).cast("int")
-    rest = np.zeros(TAIL_CLASSES)
-    for row in counts.groupBy(slot.alias("slot")).agg(F.sum("n").alias("n")).collect():
-        rest[row["slot"]] = row["n"]
-    n = listed["n"].to_numpy()
-    rest -= np.bincount((words % np.uint64(TAIL_CLASSES)).astype(np.int64), n, minlength=TAIL_CLASSES)
-    return Vocabulary(words, n.astype(float), rest)
+    words, n = listed["word"].to_numpy(), listed["n"].to_numpy()
+    rest = counts.where(F.lit(False))
+    if len(n) == LISTED:
+        edge, last = int(n[-1]), int(words[n == n[-1]].max())
+        rest = counts.where((F.col("n") < edge) | ((F.col("n") == edge) & (F.col("word") > last)))
+    slots = rest.groupBy(_slot(SLOT_BITS).alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).orderBy("slot").collect()
+    others = sum(row["words"] for row in slots)
+    depth = max(0, int(np.ceil(np.log2(max(others, 1) / SLOTS / SHARED))))
+    leaf = rest.select("word", "n", _slot(SLOT_BITS + depth).alias("leaf"))
+    shares = leaf.join(leaf.groupBy("leaf").agg(F.sum("n").alias("total")), "leaf").select("word", (F.log("n") - F.log("total")).alias("log_share"))
+    tree = Vocabulary(words.view(np.uint64), n, np.array([r["slot"] for r in slots], np.int64), np.array([r["n"] for r in slots], np.int64), depth)
+    return tree, shares
+
+
+def _sums(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, how often each occurs, and the sums of their rows."""
+    if (keys[1:] < keys[:-1]).any():
+        order = np.argsort(keys)
+        keys, rows = keys[order], rows[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.diff(np.append(first, len(keys))), np.add.reduceat(rows, first)
 
 
 class Network:
-    """One table of hidden inputs per context place, then a layer of classes."""
+    """One table of hidden inputs per context place, then a logistic unit per node
+    of the vocabulary's tree."""
 
-    SHAPES = ((2 * SIDE, CONTEXT + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
-
-    def __init__(self, flat: np.ndarray | None = None, seed: int = 0):
-        sizes = [int(np.prod(s)) for s in self.SHAPES]
+    def __init__(self, prior: np.ndarray, flat: np.ndarray | None = None, seed: int = 0):
+        shapes = ((2 * SIDE, CONTEXT + 1, HIDDEN), (HIDDEN,), (len(prior), HIDDEN), (len(prior),))
+        sizes = [int(np.prod(s)) for s in shapes]
         if flat is None:
-            flat = np.random.default_rng(seed).normal(0, 0.1, sum(sizes))
+            flat = np.concatenate((np.random.default_rng(seed).normal(0, 0.1, sum(sizes[:3])), prior))
         ends = np.cumsum(sizes)
         self.flat = flat.astype(np.float32)
-        self.table, self.shift, self.out, self.prior = (self.flat[e - s : e].reshape(shape) for e, s, shape in zip(ends, sizes, self.SHAPES, strict=True))
+        self.table, self.shift, self.out, self.prior = (self.flat[e - s : e].reshape(shape) for e, s, shape in zip(ends, sizes, shapes, strict=True))
 
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden units and log probabilities of the classes, for (n, 2 * SIDE) buckets."""
+    def hidden(self, context: np.ndarray) -> np.ndarray:
+        """Hidden units for (n, 2 * SIDE) buckets."""
         h = self.shift + self.table[0][context[:, 0]]
         for p in range(1, 2 * SIDE):
             h += self.table[p][context[:, p]]
-        h = np.tanh(h)
-        z = h @ self.out + self.prior
-        z -= z.max(axis=1, keepdims=True)
-        return h, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-    def step(self, context: np.ndarray, target: np.ndarray) -> None:
-        h, logp = self.forward(context)
-        slope = np.exp(logp)
-        slope[np.arange(len(target)), target] -= 1
-        slope /= len(target)
-        back = (slope @ self.out.T) * (1 - h * h)
-        self.out -= RATE * 10 * (h.T @ slope)
-        self.prior -= RATE * 10 * slope.sum(axis=0)
+        return np.tanh(h)
+
+    def score(self, context: np.ndarray, place: np.ndarray, node: np.ndarray, side: np.ndarray) -> np.ndarray:
+        """Log probability of the leaf at the end of each window's path."""
+        h = self.hidden(context)
+        z = np.einsum("ij,ij->i", self.out[node], h[place]) + self.prior[node]
+        z = np.clip(np.where(side, -z, z), -30, 80)
+        return np.bincount(place, -np.log(1 + np.exp(z)), minlength=len(context))
+
+    def step(self, context: np.ndarray, place: np.ndarray, node: np.ndarray, side: np.ndarray) -> None:
+        if not len(node):
+            return
+        h = self.hidden(context)
+        weights, inputs = self.out[node], h[place]
+        z = np.einsum("ij,ij->i", weights, inputs) + self.prior[node]
+        slope = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - side).astype(np.float32)[:, None]
+        own, _, sums = _sums(place, slope * weights)
+        back = np.zeros_like(h)
+        back[own] = sums
+        back *= (1 - h * h) / len(h)
+        own, visits, sums = _sums(node, np.concatenate((slope * inputs, slope), axis=1))
+        # Seldom visited nodes take smaller steps, as one visit says little.
+        sums *= (RATE * 10 / (visits + 8)).astype(np.float32)[:, None]
+        self.out[own] -= sums[:, :-1]
+        self.prior[own] -= sums[:, -1]
         self.shift -= RATE * 10 * back.sum(axis=0)
         for p in range(2 * SIDE):
-            np.add.at(self.table[p], context[:, p], -RATE * 200 * back)
+            own, _, sums = _sums(context[:, p], back)
+            self.table[p][own] -= RATE * 200 * sums
 
 
 def _contexts(words: Words) -> np.ndarray:
@@ -151,32 +222,42 @@ def _picked(words: Words, turn: int) -> np.ndarray:
 
 def train(docs: DataFrame, words: Vocabulary) -> Network:
     """Parameters averaged over all tasks, weighted by their windows."""
-    model = Network()
+    model = Network(words.prior)
     for turn in range(ROUNDS):
         flat = model.flat
 
         def fit(batches: Iterator[pa.RecordBatch], flat: np.ndarray = flat, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            own, seen = Network(flat.copy()), 0
+            own, seen = Network(words.prior, flat), 0
             for batch in batches:
                 for block in _blocks(batch.column(0)):
                     picked = _picked(block, turn)
                     if not len(picked):
                         continue
-                    context, target = _contexts(block)[picked], words.look_up(block.hash[picked])[0]
+                    context = _contexts(block)[picked]
                     order = np.random.default_rng(0).permutation(len(picked))
                     for at in range(0, len(order), BATCH):
-                        own.step(context[order[at : at + BATCH]], target[order[at : at + BATCH]])
+                        some = order[at : at + BATCH]
+                        target = block.hash[picked[some]]
+                        own.step(context[some], *words.paths(target, *words.listed(target)))
                     seen += len(picked)
             if seen:
-                moved = np.flatnonzero(own.flat != flat)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(moved, -1)), pa.array(np.append((own.flat - flat)[moved].astype(float) * seen, float(seen)))], ["place", "value"])
-
-        sums = docs.select("text").mapInArrow(fit, "place bigint, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
-        place, value = sums["place"].to_numpy(), sums["value"].to_numpy()  # one row per parameter at most
-        if len(place):
+                gap = (own.flat - flat) * np.float32(seen)
+                at = [i for i in range(0, len(gap), PIECE) if gap[i : i + PIECE].any()]
+                yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int64()), pa.array([np.float64(seen).tobytes(), *(gap[i : i + PIECE].tobytes() for i in at)], pa.binary())], ["at", "sums"])
+
+        def add(table: pa.Table) -> pa.Table:
+            at = table["at"][0].as_py()
+            total = sum(np.frombuffer(x.as_py(), np.float64 if at < 0 else np.float32).astype(float) for x in table["sums"])
+            return pa.table({"at": pa.array([at], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+        sums = docs.select("text").mapInArrow(fit, "at bigint, sums binary").groupBy("at").applyInArrow(add, "at bigint, sums binary").toArrow()
+        found = dict(zip(sums["at"].to_pylist(), sums["sums"].to_pylist(), strict=True))  # one row per PIECE parameters
+        if found:
+            seen = np.frombuffer(found.pop(-1))[0]
             new = flat.astype(float)
-            new[place[place >= 0]] += value[place >= 0] / value[place < 0][0]
-            model = Network(new)
+            for at, total in found.items():
+                new[at : at + PIECE] += np.frombuffer(total) / seen
+            model = Network(words.prior, new)
     return model
 
 
@@ -188,22 +269,21 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """
     bound_batches(docs.sparkSession)
     word_n = settle(word_counts(docs))
-    words = vocabulary(word_n)
+    words, shares = vocabulary(word_n)
     flat = train(docs, words).flat
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Network(flat)
+        model = Network(words.prior, flat)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             counts, sums, at_row, others, times = [], [], [], [], []
             for block in _blocks(batch.column(1)):
                 n = len(block.hash)
-                classes, total, listed = words.look_up(block.hash)
-                total = total.copy()
-                context = _contexts(block)
+                leaf, listed = words.listed(block.hash)
+                total, context = np.empty(n), _contexts(block)
                 for at in range(0, n, 16_384):
                     part = slice(at, min(at + 16_384, n))
-                    total[part] += model.forward(context[part])[1][np.arange(part.stop - at), classes[part]]
+                    total[part] = model.score(context[part], *words.paths(block.hash[part], leaf[part], listed[part]))
                 running = np.concatenate(([0.0], np.cumsum(total)))
                 counts.append(np.diff(block.row_words))
                 sums.append(np.diff(running[block.row_words]))
@@ -237,8 +317,8 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(scored, f"row bigint, word bigint, times bigint, doc_id {kind}, n_words bigint, part double")
-    rows = rows.join(word_n.withColumn("log_n", F.log("n")).drop("n"), "word", "left")
-    # log_n is null only for a row's own record, whose hash is no word.
-    value = F.col("part") + F.col("times") * F.when(F.col("times") > 0, F.col("log_n")).otherwise(0.0)
+    rows = rows.join(shares, "word", "left")
+    # log_share is null only for a row's own record, whose hash is no word.
+    value = F.col("part") + F.col("times") * F.when(F.col("times") > 0, F.col("log_share")).otherwise(0.0)
     rows = rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum(value).alias("log_likelihood")).drop("row")
     return rows.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))

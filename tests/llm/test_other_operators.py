@@ -124,23 +124,40 @@ def test_pseudo_likelihood(spark):
 def test_the_network_trains_on_every_window(spark):
     texts = ["one two three four five six seven eight nine ten", "short text"]
     docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
-    model = lm_score.train(docs, lm_score.vocabulary(lm_score.word_counts(docs)))
-    moved = (model.table != lm_score.Network().table).any(axis=2)
+    words = lm_score.vocabulary(lm_score.word_counts(docs))[0]
+    model = lm_score.train(docs, words)
+    moved = (model.table != lm_score.Network(words.prior).table).any(axis=2)
     context = lm_score._contexts(Words(*utf8(pa.array(texts)), lower=True))
     assert len(context) == 12 and all(moved[p, context[:, p]].all() for p in range(2 * lm_score.SIDE))
 
 
 def test_words_beyond_the_list_have_their_own_counts(spark, monkeypatch):
+    """Every word in an empty context: shares of one leaf are as the counts, and all sum to one."""
     rng = random.Random(9)
-    words = [f"v{i}" for i in range(120) for _ in range(1 + 400 // (i + 1))]
+    count = {f"v{i}": 1 + 400 // (i + 1) for i in range(120)}
+    words = [w for w, n in count.items() for _ in range(n - 1)]
     rng.shuffle(words)
-    rows = [(i, " ".join(words[i::40]), "en", "a") for i in range(40)] + [(40, None, "en", "a"), (None, "v1 v119 v119", "en", "a")]
-    whole = lm_score.pseudo_likelihood(documents(spark, rows)).collect()
-    monkeypatch.setattr(lm_score, "LISTED", 30)
-    short = {r.doc_id: r for r in lm_score.pseudo_likelihood(documents(spark, rows)).collect()}
-    assert len(whole) == len(short) == 42
-    for r in whole:
-        assert short[r.doc_id].n_words == r.n_words and short[r.doc_id].log_likelihood == pytest.approx(r.log_likelihood)
+    rows = [(i, " ".join(words[i::40]), "en", "a") for i in range(40)] + [(1000 + i, w, "en", "a") for i, w in enumerate(count)]
+    rows += [(40, None, "en", "a"), (None, "v1 v119 v119", "en", "a")]
+    for listed in (30, 65_536):
+        monkeypatch.setattr(lm_score, "LISTED", listed)
+        got = {r.doc_id: r for r in lm_score.pseudo_likelihood(documents(spark, rows)).collect()}
+        assert len(got) == 162 and got[None].n_words == 3 and got[40].log_likelihood == 0
+        alone = [np.exp(got[1000 + i].log_likelihood) for i in range(120)]
+        assert sum(alone) == pytest.approx(1, abs=1e-4) and len(set(alone[30:100])) > 20
+
+
+def test_the_context_tells_words_apart(spark):
+    """All words are as frequent, but some follow 'the' and the others 'to'."""
+    rng = random.Random(4)
+    nouns, verbs = ([f"{kind}{i}" for i in range(60)] for kind in "nv")
+    rows = [(i, " ".join(w for _ in range(20) for w in ("the", rng.choice(nouns), "to", rng.choice(verbs))), "en", "a") for i in range(1500)]
+    rows += [(10**6 + i, f"the {a} to {b}", "en", "a") for i, (a, b) in enumerate(zip(nouns, verbs, strict=True))]
+    rows += [(2 * 10**6 + i, f"the {b} to {a}", "en", "a") for i, (a, b) in enumerate(zip(nouns, verbs, strict=True))]
+    got = {r.doc_id: r.log_likelihood for r in lm_score.pseudo_likelihood(documents(spark, rows)).collect()}
+    ahead = [got[10**6 + i] - got[2 * 10**6 + i] for i in range(60)]
+    print("least and median lead of the fitting word:", min(ahead), np.median(ahead))
+    assert sum(x > 0.1 for x in ahead) >= 50
 
 
 def test_word_counts_are_exact(spark):
