@@ -36,10 +36,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and cut its lineage there."""
+    context = df.sparkSession.sparkContext
     shared_folder(df.sparkSession)
     out = df.checkpoint(eager=True)
+    del df
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()  # shuffle files of finished steps go when their plans are collected
+    context._jvm.System.gc()  # shuffle files of finished steps go when their plans are collected
     return out
 
 

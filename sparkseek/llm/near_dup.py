@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(involved, "node", "left_semi")
     texts = settle(texts.dropDuplicates(["node"]))
     signs = settle(heads.join(involved, "node", "left_semi").dropDuplicates(["node"]))
-    found, _ = link(members, lambda pairs: _compare(pairs, texts, size), lambda rows: _search(rows, signs))
+    found = link(members, lambda pairs: _compare(pairs, texts, size), lambda rows: _search(rows, signs))
     named = signed.join(classes, "digest", "left").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
     # Texts of one doc_id may differ; the document has the least of their components.
     component = F.least(F.coalesce("component", "class_id", "doc_id"), F.col("doc_id"))

@@ -3,13 +3,17 @@
 Text statistics come from one pass over whole texts.  The location and scatter
 of each (language, source) are then found by concentration steps: distances
 under the current estimate, the quantile that holds the core, moments of the
-core.  A step is one distributed aggregation with map-side sums, so a group of
-any size costs bounded memory.
+core.  Every group goes through the steps from each of STARTS starts, and the
+estimate of the least determinant counts.  A step is one distributed aggregation
+with map-side sums, so a group of any size costs bounded memory.  An estimate is
+shrunk towards that of the language, and this towards that of all rows, the more
+the fewer rows it rests on; no group is without one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import erf, exp, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -27,16 +31,38 @@ _IS_SYMBOL = np.zeros(256, dtype=bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
 _BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 
-#: Share of a group's rows in the core, concentration steps, rows a group needs
-#: for an estimate of its own (else its language's, else that of all rows).
-CORE, STEPS, MIN_ROWS = 0.75, 4, 200
-#: Squared Mahalanobis distance beyond which a document is rejected.
-CUTOFF = 80.0
+#: Share of a group's rows in the core, starts, concentration steps of each, and
+#: the rows that the estimate of the level above counts for.
+CORE, STARTS, STEPS, PRIOR_ROWS = 0.75, 3, 4, 50
+#: A document is rejected if a clean one would be as far off with this probability.
+TAIL = 1e-9
 FEATURES = ("f_symbols", "f_word_length", "f_repeats")
-#: Least standard deviation of each transformed statistic.
+#: The target that regularises every scatter: standard deviations that are added,
+#: as a statistic may be the same in all documents of a group.
 FLOORS = (0.12, 1.0, 0.12)
 
 
+def _chi3(x: float) -> float:
+    """The chi-square distribution with three degrees of freedom."""
+    return erf(sqrt(x / 2)) - sqrt(2 * x / pi) * exp(-x / 2)
+
+
+def _quantile(p: float) -> float:
+    low, high = 0.0, 1000.0
+    while high - low > 1e-9:
+        middle = (low + high) / 2
+        low, high = (middle, high) if _chi3(middle) < p else (low, middle)
+    return low
+
+
+#: Squared Mahalanobis distance beyond which a document is rejected.
+CUTOFF = _quantile(1 - TAIL)
+_EDGE = _quantile(CORE)
+#: By this the scatter of the core of normal rows falls short of that of all rows;
+#: the lower term is the distribution with five degrees of freedom.
+CONSISTENCY = CORE / (_chi3(_EDGE) - _EDGE * sqrt(2 * _EDGE / pi) * exp(-_EDGE / 2) / 3)
+
+
 def _repeated(words: np.ndarray) -> int:
     """Words within 3-word windows that occur twice or more, the first included."""
     n = len(words) - 2
@@ -87,10 +113,16 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the BASE counts of every row; null text has no words."""
+    """doc_id, lang, source, row_hash and the BASE counts of every row; null text has
+    no words.  ``row_hash`` is :func:`row_hash`."""
     bound_batches(docs.sparkSession)
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", "lang", "source"))
-    return docs.select("text", "doc_id", "lang", "source").mapInArrow(_statistics, kinds + "".join(f", {c} bigint" for c in BASE))
+    return docs.select("text", "doc_id", "lang", "source", row_hash().alias("row_hash")).mapInArrow(_statistics, kinds + ", row_hash bigint" + "".join(f", {c} bigint" for c in BASE))
+
+
+def row_hash() -> Column:
+    """Tells rows of one doc_id apart: a hash of all that a verdict depends on."""
+    return F.xxhash64("text", "lang", "source")
 
 
 def base_failed() -> Column:
@@ -108,81 +140,135 @@ def _features(stats: DataFrame) -> DataFrame:
     )
 
 
-def _distance() -> Column:
-    gap = [F.col(f) - F.col("centre")[i] for i, f in enumerate(FEATURES)]
+def _distance(start: int = 0) -> Column:
+    """Squared distance under the ``start``-th estimate of ``centre`` and ``precision``."""
     d = len(FEATURES)
-    return sum((gap[i] * gap[j] * F.col("precision")[i * d + j] for i in range(d) for j in range(d)), F.lit(0.0))
+    gap = [F.col(f) - F.col("centre")[start * d + i] for i, f in enumerate(FEATURES)]
+    return sum((gap[i] * gap[j] * F.col("precision")[start * d * d + i * d + j] for i in range(d) for j in range(d)), F.lit(0.0))
 
 
-def _invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(level, lang, source, rows, centre, precision) from sums over the core."""
+def _estimates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """centre, scatter, precision and log determinant of each start, from sums over
+    its core; those of the starts stand one after the other."""
     d = len(FEATURES)
     for frame in batches:
-        centre, precision = [], []
-        for row in frame.itertuples(index=False):
-            n = max(row.core, 1)
-            mean = np.array([getattr(row, f"s{i}") for i in range(d)], float) / n
-            cov = np.empty((d, d))
-            for i in range(d):
-                for j in range(i, d):
-                    cov[i, j] = cov[j, i] = getattr(row, f"s{i}_{j}") / n - mean[i] * mean[j]
-            cov += np.diag(np.square(FLOORS))
-            centre.append(mean)
-            precision.append(np.linalg.inv(cov).ravel())
-        yield frame[["level", "g_lang", "g_source", "rows"]].assign(centre=centre, precision=precision)
+        out: dict[str, list] = {"centre": [], "scatter": [], "precision": [], "spread": []}
+        for row in frame.to_dict("records"):
+            found: dict[str, list] = {k: [] for k in out}
+            for s in range(STARTS):
+                n = max(row[f"core{s}"], 1)
+                mean = np.array([row[f"s{s}_{i}"] for i in range(d)], float) / n
+                cov = np.empty((d, d))
+                for i in range(d):
+                    for j in range(i, d):
+                        cov[i, j] = cov[j, i] = row[f"s{s}_{i}_{j}"] / n - mean[i] * mean[j]
+                cov = CONSISTENCY * cov + np.diag(np.square(FLOORS))
+                found["centre"] += mean.tolist()
+                found["scatter"] += cov.ravel().tolist()
+                found["precision"] += np.linalg.inv(cov).ravel().tolist()
+                found["spread"].append(float(np.linalg.slogdet(cov)[1]))
+            for k, v in found.items():
+                out[k].append(v)
+        yield frame[["level", "g_lang", "g_source", "rows"]].assign(**out)
 
 
 def _moments(rows: DataFrame) -> DataFrame:
+    """Estimates from the rows with ``core<start>``."""
     d = range(len(FEATURES))
     f = [F.col(x) for x in FEATURES]
-    core = F.col("in_core")
-    sums = [F.sum(F.when(core, f[i])).alias(f"s{i}") for i in d] + [F.sum(F.when(core, f[i] * f[j])).alias(f"s{i}_{j}") for i in d for j in d if i <= j]
-    moments = rows.groupBy("level", "g_lang", "g_source").agg(F.count("*").alias("rows"), F.count_if(core).alias("core"), *sums)
+    sums = []
+    for s in range(STARTS):
+        core = F.col(f"core{s}")
+        sums += [F.count_if(core).alias(f"core{s}"), *[F.sum(F.when(core, f[i])).alias(f"s{s}_{i}") for i in d]]
+        sums += [F.sum(F.when(core, f[i] * f[j])).alias(f"s{s}_{i}_{j}") for i in d for j in d if i <= j]
+    moments = rows.groupBy(*_KEYS).agg(F.count("*").alias("rows"), *sums)
     moments = moments.na.fill(0.0, [c for c in moments.columns if c.startswith("s")])
-    return moments.mapInPandas(_invert, "level int, g_lang string, g_source string, rows bigint, centre array<double>, precision array<double>")
+    arrays = "".join(f", {c} array<double>" for c in ("centre", "scatter", "precision", "spread"))
+    return moments.mapInPandas(_estimates, "level int, g_lang string, g_source string, rows bigint" + arrays)
+
+
+_KEYS = ("level", "g_lang", "g_source")
 
 
 def _same_group() -> list[Column]:
-    return [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("level", "g_lang", "g_source")]
+    return [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in _KEYS]
+
+
+def _levels(rows: DataFrame) -> DataFrame:
+    """Each row in its (language, source), in its language and among all rows."""
+    lang, source, none = F.col("lang").cast("string"), F.col("source").cast("string"), F.lit(None).cast("string")
+    groups = F.array(*[F.struct(F.lit(i).alias("level"), a.alias("g_lang"), b.alias("g_source")) for i, (a, b) in enumerate([(lang, source), (lang, none), (none, none)])])
+    return rows.select(*FEATURES, F.explode(groups).alias("g")).select(*FEATURES, "g.*")
 
 
 def fit(rows: DataFrame) -> DataFrame:
-    """Estimates per level and group: (language, source), language, all rows.
+    """(level, g_lang, g_source, rows, centre, scatter) of level 0, (language,
+    source), level 1, language, and level 2, all rows: of the starts, the estimate
+    whose determinant is least after STEPS steps.
 
-    The first core is around the componentwise medians, scaled by the floors.
+    The first cores are the rows about the medians under the floors, the same under
+    the median deviations, and all rows.
     """
-    levels = F.array(
-        F.struct(F.lit(0).alias("level"), F.col("lang").cast("string").alias("g_lang"), F.col("source").cast("string").alias("g_source")),
-        F.struct(F.lit(1).alias("level"), F.col("lang").cast("string").alias("g_lang"), F.lit(None).cast("string").alias("g_source")),
-        F.struct(F.lit(2).alias("level"), F.lit(None).cast("string").alias("g_lang"), F.lit(None).cast("string").alias("g_source")),
-    )
-    rows = rows.select(*FEATURES, F.explode(levels).alias("g")).select(*FEATURES, "g.*")
-    keys = ["level", "g_lang", "g_source"]
-    middle = rows.groupBy(*keys).agg(F.array(*[F.percentile_approx(f, 0.5, 1000) for f in FEATURES]).alias("centre"))
+    rows = _levels(rows)
     d = len(FEATURES)
-    flat = F.array(*[F.lit(float(1 / FLOORS[i] ** 2 if i == j else 0)) for i in range(d) for j in range(d)])
-    model = middle.withColumn("precision", flat)
+    middle = rows.groupBy(*_KEYS).agg(F.array(*[F.percentile_approx(f, 0.5, 1000) for f in FEATURES]).alias("middle"))
+    off = rows.alias("a").join(middle.alias("b"), _same_group()).select(*[f"a.{c}" for c in _KEYS], "middle", *[F.abs(F.col(f) - F.col("middle")[i]).alias(f) for i, f in enumerate(FEATURES)])
+    model = off.groupBy(*_KEYS).agg(F.any_value("middle").alias("middle"), F.array(*[F.percentile_approx(f, 0.5, 1000) for f in FEATURES]).alias("apart"))
+    # A normal variable's standard deviation is 1.4826 of its median deviations.
+    wide = [F.lit(1.0) / (F.pow(1.4826 * F.col("apart")[i], 2) + FLOORS[i] ** 2) for i in range(d)]
+    under = [[F.lit(1 / x**2) for x in FLOORS], wide, [F.lit(0.0)] * d]
+    flat = F.array(*[x[i] if i == j else F.lit(0.0) for x in under for i in range(d) for j in range(d)])
+    model = settle(model.select(*_KEYS, F.concat(*[F.col("middle")] * STARTS).alias("centre"), flat.alias("precision")))
     for _ in range(STEPS):
-        near = rows.alias("a").join(model.alias("b"), _same_group()).select(*[f"a.{c}" for c in keys], *FEATURES, _distance().alias("distance"))
-        edge = near.groupBy(*keys).agg(F.percentile_approx("distance", CORE, 1000).alias("edge"))
-        near = near.alias("a").join(edge.alias("b"), _same_group()).select(*[f"a.{c}" for c in keys], *FEATURES, (F.col("distance") <= F.col("edge")).alias("in_core"))
+        near = rows.alias("a").join(model.alias("b"), _same_group()).select(*[f"a.{c}" for c in _KEYS], *FEATURES, *[_distance(s).alias(f"d{s}") for s in range(STARTS)])
+        edge = near.groupBy(*_KEYS).agg(*[F.percentile_approx(f"d{s}", CORE, 1000).alias(f"e{s}") for s in range(STARTS)])
+        near = near.alias("a").join(edge.alias("b"), _same_group()).select(*[f"a.{c}" for c in _KEYS], *FEATURES, *[(F.col(f"d{s}") <= F.col(f"e{s}")).alias(f"core{s}") for s in range(STARTS)])
         model = settle(_moments(near))
-    return model
+    best = F.array_position("spread", F.array_min("spread")).cast("int") - 1
+    return model.select(*_KEYS, "rows", F.slice("centre", best * d + 1, d).alias("centre"), F.slice("scatter", best * d * d + 1, d * d).alias("scatter"))
+
+
+def _shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """centre and precision of a group from the estimates of its levels, widest first."""
+    d = len(FEATURES)
+    for frame in batches:
+        centres, precisions = [], []
+        for chain in frame["chain"]:
+            centre, scatter = np.array(chain[0]["centre"]), np.array(chain[0]["scatter"]).reshape(d, d)
+            for own in chain[1:]:
+                share = own["rows"] / (own["rows"] + PRIOR_ROWS)
+                gap = np.array(own["centre"]) - centre
+                # The scatter of the mixture of both.
+                scatter = share * np.array(own["scatter"]).reshape(d, d) + (1 - share) * scatter + share * (1 - share) * np.outer(gap, gap)
+                centre = centre + share * gap
+            centres.append(centre)
+            precisions.append(np.linalg.inv(scatter).ravel())
+        yield frame[["g_lang", "g_source"]].assign(centre=centres, precision=precisions)
+
+
+def estimates(model: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(g_lang, g_source, centre, precision) of each (language, source), of each
+    language and of all rows, shrunk towards the level above."""
+    parts = [model.where(F.col("level") == i).select("g_lang", "g_source", F.struct("rows", "centre", "scatter").alias(f"own{i}")) for i in range(3)]
+    every = F.broadcast(parts[2].select("own2"))  # one row
+    lang = parts[1].crossJoin(every)
+    own = parts[0].join(lang.select(F.col("g_lang").alias("l"), "own1", "own2"), F.col("g_lang").eqNullSafe(F.col("l")))
+    kinds = "g_lang string, g_source string, centre array<double>, precision array<double>"
+    chains = [(own, ["own2", "own1", "own0"]), (lang, ["own2", "own1"]), (parts[2], ["own2"])]
+    out = [df.select("g_lang", "g_source", F.array(*names).alias("chain")).mapInPandas(_shrink, kinds) for df, names in chains]
+    return out[0], out[1], out[2]
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, BASE counts, base_failed, distance and kept of every row.
+    """doc_id, lang, source, row_hash, BASE counts, base_failed, distance and kept of
+    every row.
 
     Rows that pass the base rules are judged by their group's estimate; a null
     language or source is a group of its own.  A row is rejected if its squared
     Mahalanobis distance exceeds CUTOFF.  Repeated rows are judged alike.
     """
     stats = settle(_features(statistics(docs)).withColumn("base_failed", base_failed()))
-    passed = stats.where(~F.col("base_failed"))
-    model = fit(passed)
-    own = model.where(f"level = 0 AND rows >= {MIN_ROWS}")
-    lang = model.where(f"level = 1 AND rows >= {MIN_ROWS}")
-    every = model.where("level = 2")
+    own, lang, every = estimates(settle(fit(stats.where(~F.col("base_failed")))))
     x = stats.alias("x")
     x = x.join(own.alias("o"), F.col("x.lang").cast("string").eqNullSafe(F.col("o.g_lang")) & F.col("x.source").cast("string").eqNullSafe(F.col("o.g_source")), "left")
     x = x.join(lang.alias("l"), F.col("x.lang").cast("string").eqNullSafe(F.col("l.g_lang")), "left")
@@ -190,4 +276,4 @@ def judge(docs: DataFrame) -> DataFrame:
     x = x.select("x.*", F.coalesce("o.centre", "l.centre", "e.centre").alias("centre"), F.coalesce("o.precision", "l.precision", "e.precision").alias("precision"))
     judged = x.withColumn("distance", _distance())
     outlier = F.coalesce(F.col("distance") > CUTOFF, F.lit(False))
-    return judged.select("doc_id", "lang", "source", *BASE, "base_failed", "distance", (~F.col("base_failed") & ~outlier).alias("kept"))
+    return judged.select("doc_id", "lang", "source", "row_hash", *BASE, "base_failed", "distance", (~F.col("base_failed") & ~outlier).alias("kept"))

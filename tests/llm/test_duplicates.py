@@ -117,45 +117,11 @@ def test_components_of_chains_and_loops(spark):
     assert common.connected_components(empty).collect() == []
 
 
-def brute_lines(texts):
-    normal = lambda x: x.strip(" \t\r\x0b\x0c").lower()
-    windows = lambda x: {x[m.start() : m.start() + 8] for m in re.finditer(r"[^ \t\n\x0b\f\r]+", x)}
-    first, union = {}, Union()
-    for doc, text in sorted(texts.items(), key=lambda x: x[0]):
-        for pos, line in enumerate((text or "").split("\n")):
-            if normal(line):
-                first.setdefault(normal(line), (doc, pos))
-    sets = [(at, windows(line)) for line, at in first.items() if len(line.split()) >= line_dedup.FUZZY_FROM]
-    for i, (a, x) in enumerate(sets):
-        for b, y in sets[i + 1 :]:
-            if min(len(x), len(y)) * 100 >= max(len(x), len(y)) * 80:
-                n = len(x & y)
-                if 100 * n >= 80 * (len(x) + len(y) - n):
-                    union.join(a, b)
-    out = {}
-    for doc, text in texts.items():
-        if text is None:
-            out[doc] = None
-            continue
-        kept = []
-        for pos, line in enumerate(text.split("\n")):
-            if not normal(line) or union.find(first[normal(line)]) == (doc, pos):
-                kept.append(line)
-        out[doc] = "\n".join(kept)
-    return out
-
-
-def test_lines_match_all_pairs(spark):
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    got = {r.doc_id: r.text for r in op10_line_dedup(spark, SF).collect()}
-    assert got == brute_lines(texts)
-
-
 def test_lines_awkward_rows(spark):
     docs = documents(spark)
     rows = line_dedup.dedup_lines(docs).collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
-    assert {r.doc_id: r.text for r in rows} == brute_lines(texts)
+    assert {r.doc_id: r.text for r in rows} == all_window_lines(texts)
     assert len(rows) == 13 and rows[0].__fields__[: len(docs.columns)] == docs.columns
     got = {r.doc_id: r for r in rows}
     assert (got[8].text, got[8].lines_seen, got[8].lines_dropped) == ("a b\nc d\n", 4, 2)
@@ -163,6 +129,17 @@ def test_lines_awkward_rows(spark):
     assert line_dedup.dedup_lines(documents(spark, [])).collect() == []
 
 
+def test_lines_clashing_columns(spark):
+    docs = documents(spark, [(1, "one two three four five", "en", "a"), (None, "one two three four five", "en", "a"), (2, "one two three four six", "en", "a")])
+    names = ["gone", "gone_lines", "text_hash", "text_hash_key", "h", "g", "id", "row", "parts", "pos", "line", "lines_seen", "lines_dropped"]
+    for name in names:
+        docs = docs.withColumn(name, F.lit("own"))
+    rows = line_dedup.dedup_lines(docs)
+    assert len(rows.columns) == len(set(rows.columns)) == len(docs.columns)
+    got = {r.doc_id: r for r in rows.collect()}
+    assert got[1].lines_dropped == 1 and got[None].lines_dropped == 0 and got[2].gone == got[2].text_hash_key == "own"
+
+
 def test_fuzzy_lines_keep_the_earliest(spark):
     rng = random.Random(5)
     base = [f"word{rng.randint(0, 10**6)}" for _ in range(40)]
