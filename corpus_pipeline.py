@@ -15,13 +15,22 @@ from sparkseek.llm import common, decontam, line_dedup, near_dup, packing, quali
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules and the outlier test keep."""
-    rejected = quality.judge(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    """Documents that the quality rules and the outlier test keep.
+
+    Null and empty texts have no words and go.  Rows that share a doc_id are judged
+    each by its own text, language and source; a null doc_id is as good as any.
+    """
+    rejected = quality.judge(docs).where(~F.col("kept")).select("doc_id", "row_hash").distinct()
+    same = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.__row_hash") == F.col("r.row_hash"))
+    rows = docs.withColumn("__row_hash", quality.row_hash()).alias("d").join(rejected.alias("r"), same, "left_anti")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without superfluous lines; a document left without any line goes."""
+    """Texts without superfluous lines; a document left without any line goes.
+
+    Null, empty and blank texts have no line to lose and stay.
+    """
     rows = line_dedup.dedup_lines(docs).where((F.col("lines_dropped") == 0) | (F.col("lines_dropped") < F.col("lines_seen")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("lines_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
@@ -29,18 +38,22 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies.
+
+    Documents without words and those with a null doc_id stay.  Rows that share a
+    doc_id are one document and stay or go together.
+    """
     gone = near_dup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; null and empty texts stay."""
     return decontam.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document."""
+    """The place of every piece of every document; a null text is an empty one."""
     return packing.pack(docs, queries.tokenizer_path(), keep_ids=False)
 
 
