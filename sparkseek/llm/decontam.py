@@ -14,11 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import bound_batches
 from .textkernel import _ODD, Words, mix64, slices, utf8
 
-#: Words of a seed; documents and items are compared in lower case (A-Z).
+#: Words of a seed; documents and items are compared in lower case (A-Z).  A shorter
+#: item is a seed as a whole.
 SEED = 3
 #: A seed is rare in its item if it is among the rarer half of the item's seeds, or
 #: in at most one document of RARE_ONE_IN.
@@ -31,13 +33,13 @@ THRESHOLD = 0.5
 BLOCK_ITEMS = 100_000
 
 
-def _grams(words: np.ndarray) -> np.ndarray:
-    if len(words) < SEED:
+def _grams(words: np.ndarray, size: int = SEED) -> np.ndarray:
+    if len(words) < size or not size:
         return np.empty(0, np.uint64)
-    n = len(words) - SEED + 1
-    out = words[:n]
+    n = len(words) - size + 1
     with np.errstate(over="ignore"):
-        for i in range(1, SEED):
+        out = words[:n] if size == SEED else words[:n] ^ np.uint64(size)
+        for i in range(1, size):
             out = mix64(out * _ODD + words[i : i + n])
     return out
 
@@ -79,10 +81,11 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 class _Items:
     """A block of items, with their seeds sorted by hash."""
 
-    def __init__(self, rows: list[tuple[int, np.ndarray]]):
+    def __init__(self, rows: list[tuple]):
         self.ids = [i for i, _ in rows]
         self.words = [w for _, w in rows]
-        grams = [_grams(w) for w in self.words]
+        grams = [_grams(w, min(SEED, len(w))) for w in self.words]
+        self.sizes = sorted({min(SEED, len(w)) for w in self.words})
         self.item = np.repeat(np.arange(len(rows)), [len(g) for g in grams])
         self.at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
         every = np.concatenate(grams) if grams else np.empty(0, np.uint64)
@@ -90,12 +93,13 @@ class _Items:
 
     def seeds_in(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in the text, seed numbers) of the seeds found."""
-        grams = _grams(words)
-        if not len(self.seeds) or not len(grams):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        found = np.minimum(np.searchsorted(self.seeds, grams), len(self.seeds) - 1)
-        places = np.flatnonzero(self.seeds[found] == grams)
-        return places, found[places]
+        every = []
+        for size in self.sizes:
+            grams = _grams(words, size)
+            found = np.minimum(np.searchsorted(self.seeds, grams), len(self.seeds) - 1)
+            places = np.flatnonzero(self.seeds[found] == grams)
+            every.append((places, found[places]))
+        return tuple(np.concatenate(x) for x in zip((np.empty(0, np.int64),) * 2, *every, strict=True))
 
     def keep(self, rare: np.ndarray) -> None:
         """Keep the occurrences (item, at) marked rare."""
@@ -104,7 +108,7 @@ class _Items:
         self.item, self.at, self.seed = self.item[order], self.at[order], self.seed[order]
         self.bounds = np.searchsorted(self.seed, np.arange(len(self.seeds) + 1))
 
-    def matches(self, words: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
+    def matches(self, words: np.ndarray) -> Iterator[tuple]:
         """(item id, share of a full match, first word, word after the last)."""
         places, seeds = self.seeds_in(words)
         wanted: dict[int, set[int]] = {}
@@ -131,11 +135,11 @@ class _Items:
 
 
 def _blocks(benchmark: DataFrame, size: int) -> Iterator[_Items]:
-    """The items in blocks; one of fewer than SEED words has no seed and is left out."""
-    held: list[tuple[int, np.ndarray]] = []
+    """The items in blocks; one without words can be in no document."""
+    held: list[tuple] = []
     for row in benchmark.select("item_id", "text").where("text IS NOT NULL").orderBy("item_id").toLocalIterator():
         words = next(_texts(pa.array([row["text"]])))
-        if len(words) >= SEED:
+        if len(words):
             held.append((row["item_id"], words))
         if len(held) == size:
             yield _Items(held)
@@ -166,28 +170,38 @@ def _document_counts(docs: DataFrame, items: _Items) -> tuple[np.ndarray, int]:
     return out, rows
 
 
+def _prepared(docs: DataFrame, benchmark: DataFrame) -> Iterator[_Items]:
+    """The blocks, each with the seeds that are rare among ``docs``."""
+    for items in _blocks(benchmark, BLOCK_ITEMS):
+        counts, rows = _document_counts(docs, items)
+        each = counts[items.seed]
+        order = np.lexsort((each, items.item))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order)) - np.searchsorted(items.item[order], items.item[order])
+        size = np.bincount(items.item, minlength=len(items.ids))[items.item]
+        items.keep((2 * rank <= size) | (each * RARE_ONE_IN <= rows))
+        yield items
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word): every document and item with
     an alignment of THRESHOLD or more, at its best place.
 
-    ``score`` is the alignment score over that of the whole item.  Null texts match
-    nothing; repeated documents and items give repeated rows.  Items are held in
-    blocks of BLOCK_ITEMS, each with its own pass, so memory stays bounded.
+    ``score`` is the alignment score over that of the whole item.  Null and empty
+    texts and items match nothing; repeated documents and items give repeated rows;
+    ids may be of any type, null too.  Items are held in blocks of BLOCK_ITEMS, each
+    with its own pass, so memory stays bounded.  The seeds of a block are the small
+    side of the join and go to the tasks as sorted arrays, SEED times eight bytes a
+    word; passages are probed where they are read and never shuffled.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, score double, first_word bigint, end_word bigint"
+    types = [f.type for f in to_arrow_schema(benchmark.select("item_id").schema)]
     out = spark.createDataFrame([], schema)
-    for items in _blocks(benchmark, BLOCK_ITEMS):
-        counts, rows = _document_counts(docs, items)
-        each = counts[items.seed]
-        order = np.lexsort((each, items.item))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order)) - np.searchsorted(items.item[order], items.item[order])
-        size = np.bincount(items.item, minlength=len(items.ids))[items.item]
-        items.keep((2 * rank <= size) | (each * RARE_ONE_IN <= rows))
+    for items in _prepared(docs, benchmark):
 
         def find(batches: Iterator[pa.RecordBatch], items: _Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -196,7 +210,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     for match in items.matches(words):
                         for column, value in zip(found, (doc_id, *match), strict=True):
                             column.append(value)
-                kinds = (batch.column(0).type, pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                kinds = (batch.column(0).type, *types, pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, kinds, strict=True)], ["doc_id", "item_id", "score", "first_word", "end_word"])
 
         out = out.unionByName(docs.select("doc_id", "text").mapInArrow(find, schema))
@@ -204,6 +218,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage."""
-    bad = contamination(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the rows that hold a benchmark passage.  Each row is judged by
+    its own text, whatever its doc_id."""
+    bound_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+    out = docs
+    for items in _prepared(docs, benchmark):
+
+        def clean(batches: Iterator[pa.RecordBatch], items: _Items = items) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = [next(items.matches(words), None) is None for words in _texts(batch.column(at))]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        out = out.mapInArrow(clean, docs.schema)
+    return out

@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,8 +25,10 @@ from pyspark.sql.window import Window
 from .common import bound_batches, settle
 
 CAPACITY = 2048
-#: Pieces of one length are numbered within so many parts of a hash of their keys.
-SALTS = 64
+#: Pieces of one length are numbered in parts of about so many pieces, split by a hash.
+PART_PIECES = 1 << 18
+#: Rows of the placement tables up to which they are broadcast, 64 bytes each.
+BROADCAST_ROWS = 1 << 18
 
 #: Fixed value: the pre-tokenisation pattern of the byte-level vocabulary.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -42,10 +44,11 @@ def _bytes_of_symbols() -> dict[str, int]:
 
 
 class TextEncoder:
-    """Ids of a byte-level BPE vocabulary file, special strings as ordinary text.
+    """Ids of a byte-level BPE vocabulary file, as the ``tokenizers`` library gives
+    them without added special tokens; a special string in a text is its token.
 
-    Common Latin text goes through the faster of two engines that share the
-    file's vocabulary; any other text through the ``tokenizers`` library itself.
+    Common Latin text without such a string goes through the faster of two engines
+    that share the file's vocabulary; any other text through ``tokenizers`` itself.
     """
 
     def __init__(self, path: str):
@@ -53,16 +56,17 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self._exact = Tokenizer.from_file(path)
-        self._exact.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        added = [x["content"] for x in spec.get("added_tokens", [])]
         special = {x["content"] for x in spec.get("added_tokens", []) if x.get("special")}
+        self._uncommon = re.compile("|".join([_UNCOMMON.pattern, *map(re.escape, added)]))
         symbols = _bytes_of_symbols()
         ranks = {bytes(symbols[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
         self._fast = tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if _UNCOMMON.search(text):
+        if self._uncommon.search(text):
             return np.array(self._exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return self._fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
@@ -124,6 +128,48 @@ class _Lengths:
         return first
 
 
+def _dominant(lengths: _Lengths, j: int, room: int) -> list[int] | None:
+    """The lengths that dominate all others with one piece of length ``j`` and
+    ``room`` beside it; None if no set does.
+
+    One set dominates another if the other's pieces can be shared out among its
+    own without overfilling any of them.
+    """
+
+    def count(x: int) -> int:
+        return lengths.left.get(x, 0) - (x == j)
+
+    if room == 0 or count(room) > 0:
+        return [room] if room else []
+    keys = [x for x in lengths.keys[: bisect_right(lengths.keys, room)] if count(x) > 0]
+    if not keys:
+        return []
+    best = keys[-1]
+    smallest = [x for x in keys[:3] for _ in range(min(count(x), 3))][:3]
+    if len(smallest) < 2 or sum(smallest[:2]) > room:
+        return [best]  # no two fit beside j
+    if len(smallest) > 2 and sum(smallest) <= room:
+        return None  # three may fit: not decided
+    # Pairs at most.  The greatest sum of two that fit, by two pointers.
+    low, high, top = 0, len(keys) - 1, 0
+    while low <= high:
+        pair = keys[low] + keys[high]
+        if pair > room or (low == high and count(keys[low]) < 2):
+            high -= 1
+        else:
+            top = max(top, pair)
+            low += 1
+    if best >= top:
+        return [best]
+    # The largest with the largest beside it: dominates if no two above that one fit.
+    beside = next((x for x in reversed(keys) if best + x <= room and (x != best or count(x) > 1)), None)
+    if beside is None:
+        return None
+    above = [x for x in keys if x > beside][:2]
+    two = [x for x in above for _ in range(min(count(x), 2))][:2]
+    return None if len(two) > 1 and sum(two) <= room else [best, beside]
+
+
 def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple], int]:
     """Place ``counts[length]`` pieces of each length.
 
@@ -143,27 +189,16 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list
             at += length
         sequences += bins
 
-    # Dominance: with a piece j, a set that fills the sequence, or the only set
-    # that can join j, dominates every other set with j and is fixed for good.
-    for j in sorted(lengths.left, reverse=True):
-        while j in lengths.left:
-            room = capacity - j
-            n = lengths.left[j]
-            if room in lengths.left and (room != j or n > 1):
-                fix([j, room], n // 2 if room == j else min(n, lengths.left[room]))
-                continue
-            others = [k for k in lengths.keys if k <= room and (k != j or n > 1)]
-            if not others:
-                fix([j], n)
-                continue
-            best = others[-1]
-            own = best == j
-            smallest = others[0]
-            again = lengths.left[smallest] - (smallest == j) > 1
-            second = smallest if again else (others[1] if len(others) > 1 else capacity)
-            if smallest + second <= room:
-                break  # two or more may join j: not dominated
-            fix([j, best], n // 2 if own else min(n, lengths.left[best]))
+    # Dominance: of the sets that a piece j can be with, one that is no worse than
+    # every other is fixed for good; then the smaller instance is looked at again.
+    changed = True
+    while changed:
+        changed = False
+        for j in sorted(lengths.left, reverse=True):
+            while j in lengths.left and (found := _dominant(lengths, j, capacity - j)) is not None:
+                parts = [j, *found]
+                fix(parts, min(lengths.left[x] // parts.count(x) for x in parts))
+                changed = True
 
     # Best fit, decreasing; groups of alike sequences move as one.
     rooms: list[int] = []
@@ -212,24 +247,29 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     numbered by document and piece, so the result is the same on every run.
     """
     spark = docs.sparkSession
-    pieces = settle(tokenize_pieces(docs, tokenizer_path, capacity, end_id, keep_ids).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")))
-    # At most capacity x SALTS rows, whatever the input.
-    parts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()
+    pieces = settle(tokenize_pieces(docs, tokenizer_path, capacity, end_id, keep_ids))
+    # One row per length, capacity rows at most; then one per part, a row more for
+    # every PART_PIECES pieces.
+    parts_of = {r["length"]: -(-r["n"] // PART_PIECES) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    many = {k: n for k, n in parts_of.items() if n > 1}
+    salts = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])[F.col("length")] if many else F.lit(None).cast("int")
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.coalesce(salts, F.lit(1))).cast("int"))
     counts: dict[int, int] = {}
-    first: dict[tuple[int, int], int] = {}
-    for row in sorted(parts, key=lambda r: (r["length"], r["salt"])):
-        first[row["length"], row["salt"]] = counts.get(row["length"], 0)
+    first: list[tuple] = []
+    for row in sorted(salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect(), key=lambda r: (r["length"], r["salt"])):
+        first.append((row["length"], row["salt"], counts.get(row["length"], 0)))
         counts[row["length"]] = counts.get(row["length"], 0) + row["n"]
     runs, _ = plan_packing(counts, capacity)
-    starts = spark.createDataFrame([(k, s, n) for (k, s), n in first.items()], "length bigint, salt int, base bigint")
-    places = spark.createDataFrame(runs, "length bigint, run_first bigint, run_last bigint, run_sequence bigint, per bigint, run_offset bigint")
+    small = lambda df, rows: F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
+    starts = small(spark.createDataFrame(first, "length bigint, salt int, base bigint"), first)
+    places = small(spark.createDataFrame(runs, "run_length bigint, run_first bigint, run_last bigint, run_sequence bigint, per bigint, run_offset bigint"), runs)
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    numbered = pieces.withColumn("rank", F.row_number().over(order)).join(F.broadcast(starts), ["length", "salt"])
+    numbered = salted.withColumn("rank", F.row_number().over(order)).join(starts, ["length", "salt"])
     numbered = numbered.withColumn("number", F.col("base") + F.col("rank") - 1)
-    placed = numbered.join(F.broadcast(places.withColumnRenamed("length", "run_length")), (F.col("length") == F.col("run_length")) & (F.col("number") >= F.col("run_first")) & (F.col("number") < F.col("run_last")))
+    placed = numbered.join(places, (F.col("length") == F.col("run_length")) & (F.col("number") >= F.col("run_first")) & (F.col("number") < F.col("run_last")))
     step = F.col("number") - F.col("run_first")
     return placed.select(
-        *[c for c in pieces.columns if c != "salt"],
+        *pieces.columns,
         (F.col("run_sequence") + F.floor(step / F.col("per"))).cast("bigint").alias("sequence_id"),
         (F.col("run_offset") + F.pmod(step, F.col("per")) * F.col("length")).alias("offset"),
     )

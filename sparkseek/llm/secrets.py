@@ -88,7 +88,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule]
     Findings hold one row per row of ``docs``: doc_id, blob and ``spans``, an
     array of (kind, start, end) in order of start, then of kind as listed; code
     points, end exclusive.  Null text is empty.  Repeated rows are repeated
-    paths.  Ledger rows under another version of a rule are not used.
+    paths.  Ledger rows under another version of a rule are not used, and one held
+    twice counts once.
     """
     paths = docs.select("doc_id", address(F.col("text")).alias("blob"))
     texts = docs.select(address(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text")).groupBy("blob").agg(F.any_value("text").alias("text"))
@@ -97,19 +98,36 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule]
     if ledger is None:
         blobs, known = texts.withColumn("todo", kinds), None
     else:
-        known = ledger.where(F.array_contains(current, F.struct("rule", "version")))
+        known = ledger.where(F.array_contains(current, F.struct("rule", "version"))).dropDuplicates(["blob", "rule", "version"])
         done = known.groupBy("blob").agg(F.collect_set("rule").alias("done"))
         blobs = texts.join(done, "blob", "left").withColumn("todo", F.array_except(kinds, F.coalesce("done", F.array().cast("array<string>"))))
         blobs = blobs.where(F.size("todo") > 0)
     fresh = settle(_scan(blobs, rules).select("blob", "rule", "version", "spans"))
     every = fresh if known is None else known.select(fresh.columns).unionByName(fresh)
+    return fresh, _findings(paths, every, rules)
+
+
+def _findings(paths: DataFrame, ledger: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
-    listed = every.where(F.size("spans") > 0).select("blob", F.explode("spans").alias("s"), "rule")
+    listed = ledger.where(F.size("spans") > 0).select("blob", F.explode("spans").alias("s"), "rule")
     listed = listed.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("s.start", rank["rule"].alias("rank"), "s.end", F.col("rule").alias("kind")))).alias("found"))
-    found = paths.join(listed, "blob", "left").select(
-        "doc_id", "blob", F.transform(F.coalesce("found", F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans")
-    )
-    return fresh, found
+    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
+    spans = F.transform(F.coalesce("found", none), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return paths.join(listed, "blob", "left").select("doc_id", "blob", spans.alias("spans"))
+
+
+def scan_with_ledger(docs: DataFrame, folder: str, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The findings of :func:`scan` with the ledger kept in ``folder``, which every
+    call reads and extends by what it scanned.  Blobs and rule versions that an
+    earlier call covered are not scanned again.  A folder without a ledger is an
+    empty one; two calls at a time may both scan a blob, which counts once."""
+    spark = docs.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    ledger = spark.read.schema(LEDGER).parquet(folder) if there else spark.createDataFrame([], LEDGER)
+    fresh, found = scan(docs, ledger, rules)
+    fresh.write.mode("append").parquet(folder)
+    return found
 
 
 def digest(findings: DataFrame) -> DataFrame:

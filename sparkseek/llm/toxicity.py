@@ -3,7 +3,9 @@
 Confirmed toxic texts are the positives; texts drawn from all that may be learned
 from are the unlabelled.
 A numpy classifier minimises prior * R+(positives) + max(0, R-(unlabelled) -
-prior * R-(positives)), with the prior corrected from the labels.
+prior * R-(positives)); where the second risk falls below zero, a step raises it
+alone.  The prior is the share of toxic rows among the labelled ones, as labels are
+given to documents at random; no label tells the unlabelled apart.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ MAX_POSITIVE, MAX_UNLABELLED = 4000, 12000
 #: Training texts that a word needs to have a strength, and edges of the strengths.
 LEAST_TEXTS, EDGES = 4, (1.0, 2.0, 3.0, 4.0)
 STEPS, RATE, DECAY = 800, 0.03, 1e-3
+#: The log odds of every text where there is nothing to learn from.
+NOTHING = -30.0
 _MINIMA = 12
 _TO_SPACE = np.arange(256, dtype=np.uint8)
 _TO_SPACE[[c for c in range(33, 127) if not chr(c).isalnum()]] = 0x20
@@ -66,7 +70,7 @@ class Classifier:
     def __init__(self) -> None:
         self.strength = np.zeros(BUCKETS, np.float32)
         self.weight = np.zeros(len(EDGES) + 3)
-        self.bias = 0.0
+        self.bias = NOTHING
 
     def set_strength(self, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> None:
         p = np.bincount(np.concatenate([*positive, np.empty(0, np.int32)]), minlength=BUCKETS)
@@ -112,8 +116,9 @@ class Classifier:
             sp, su = self._risk(xp), self._risk(xu)
             # Logistic losses: -log s for a positive, -log(1 - s) for a negative.
             excess = -np.log1p(-np.minimum(su, 1 - 1e-9)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-9)).mean()
-            sign = 1 if excess >= 0 else -1  # below zero: step back from the negative risk
-            gp = prior * ((sp - 1) - sign * sp) / len(xp)
+            # Below zero the negative risk is raised and the positive one left out.
+            sign, positive_part = (1, sp - 1) if excess >= 0 else (-1, 0.0)
+            gp = prior * (positive_part - sign * sp) / len(xp)
             gu = sign * su / len(xu)
             g = np.append(gp @ xp + gu @ xu + DECAY * self.weight, gp.sum() + gu.sum())
             first = 0.9 * first + 0.1 * g
@@ -134,7 +139,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Classifier, float]:
 
     At most MAX_POSITIVE confirmed toxic and MAX_UNLABELLED documents of any kind are
     used, the first of each by a hash of their ids.  Without a positive there is
-    nothing to learn: weights are zero and every score is 0.5 at most.
+    nothing to learn and every score is next to 0.  Rows that share a doc_id count
+    once in the sample, each with its own text; null texts are empty.
     """
     known = labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
@@ -172,7 +178,10 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row.  Neither labels, nor
-    language, source or doc_id are inputs of a score."""
+    language, source or doc_id are inputs of a score.  Null and empty texts have the
+    score of a text without words, repeated rows score alike, a null doc_id is not
+    held out, and an empty table gives none.
+    """
     bound_batches(docs.sparkSession)
     model, _ = train(docs, labels)
     rows = score(docs, model)

@@ -22,7 +22,8 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.8
+#: A mined rule holds for this share of the labelled pages and for so many at least.
+MIN_SUPPORT, MIN_PAGES, MIN_CONFIDENCE = 0.002, 3, 0.8
 _BAD = "label:bad"
 
 
@@ -74,9 +75,10 @@ def mine(pages: DataFrame, labels: DataFrame) -> DataFrame:
     marks = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(bad).alias("bad")).where("bad IS NOT NULL")
     baskets = pages.select(number.alias("doc_id"), "tokens").join(marks, "doc_id")
     baskets = baskets.select(F.when(F.col("bad") == 1, F.array_append("tokens", F.lit(_BAD))).otherwise(F.col("tokens")).alias("items"))
-    if baskets.isEmpty():
+    n = baskets.count()
+    if n < MIN_PAGES:
         return spark.createDataFrame([], none)
-    model = FPGrowth(itemsCol="items", minSupport=MIN_SUPPORT, minConfidence=MIN_CONFIDENCE).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=max(MIN_SUPPORT, MIN_PAGES / n), minConfidence=MIN_CONFIDENCE).fit(baskets)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(_BAD)))
     rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     # More general rules: each rule against the rules on its tokens.
@@ -87,6 +89,16 @@ def mine(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return rules.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "support")
 
 
+def _index(mined: DataFrame, urls: DataFrame) -> DataFrame:
+    """(token, rule_id, wanted): each rule under its rarest token among the pages, so
+    that a token of every page brings no rule up unless the rule has no other."""
+    counts = urls.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    places = mined.select("rule_id", "tokens", F.explode("tokens").alias("token")).join(counts, "token")
+    # As few rows as the rules have tokens.
+    rarest = places.groupBy("rule_id").agg(F.min(F.struct("n", "token")).alias("rare"), F.any_value("tokens").alias("wanted"))
+    return rarest.select("rare.token", "rule_id", "wanted")
+
+
 def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict, mined_rule of every row of ``pages``.
 
@@ -101,10 +113,9 @@ def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
     rows = rows.withColumn("rule", rule).withColumn("listed", verdict)
     rows = rows.withColumn("tokens", F.when(F.col("host") != "", _tokens(rows)).otherwise(F.array().cast("array<string>")))
     mined = mine(rows, labels)
-    open_pages = rows.where("listed IS NULL").select("url", F.explode("tokens").alias("token"))
-    index = mined.select("rule_id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    hits = open_pages.distinct().join(index, "token").groupBy("url", "rule_id", "size").count().where("count = size")
-    hits = hits.groupBy("url").agg(F.min("rule_id").alias("mined_rule"))
+    urls = rows.where("listed IS NULL").select("url", "tokens").distinct()
+    hits = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(_index(mined, urls), "token")
+    hits = hits.where(F.size(F.array_except("wanted", "tokens")) == 0).groupBy("url").agg(F.min("rule_id").alias("mined_rule"))
     rows = rows.join(hits, "url", "left")
     found = F.when(F.col("mined_rule").isNotNull() & F.col("listed").isNull(), "block").otherwise("allow")
     return rows.select("page_id", "host", "path", "rule", F.coalesce("listed", found).alias("verdict"), F.when(F.col("listed").isNull(), F.col("mined_rule")).alias("mined_rule"))

@@ -17,7 +17,6 @@ SF = "/root/testdata/sf0.001"
 
 def test_pack_round_trip(spark):
     exact = Tokenizer.from_file(tokenizer_path())
-    exact.encode_special_tokens = True
     rows = packing.pack(documents(spark), tokenizer_path()).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -42,6 +41,13 @@ def test_pack_round_trip(spark):
         assert at <= 2048
 
 
+def test_ids_are_the_librarys_own():
+    exact, fast = Tokenizer.from_file(tokenizer_path()), packing.encoder(tokenizer_path())
+    texts = ["a <|endoftext|> b", "don't  stop\n\n 123 émile ŸȀ ɏ", "x" * 5000, " " * 300 + "\t\t!!??...", "Ünïcode 日本語 🙂 \u0130 ʼn", "\x00\x1f\x7f\xa0 ­"]
+    for text in texts:
+        assert packing.TextEncoder.ids(fast, text).tolist() == exact.encode(text, add_special_tokens=False).ids, text
+
+
 def test_pack_empty_table(spark):
     assert packing.pack(documents(spark, []), tokenizer_path()).collect() == []
 
@@ -83,6 +89,26 @@ def test_secrets_scan_only_what_the_ledger_lacks(spark):
     assert secrets.scan(documents(spark, []))[1].count() == 0
 
 
+def test_secrets_ledger_is_kept_and_extended(spark, tmp_path):
+    docs, place = documents(spark), f"{tmp_path}/ledger"
+    want = sorted(map(tuple, secrets.digest(secrets.scan(docs)[1]).collect()))
+    half = docs.where("doc_id < 8")
+    secrets.scan_with_ledger(half, place)
+    before = spark.read.parquet(place).count()
+    assert sorted(map(tuple, secrets.digest(secrets.scan_with_ledger(docs, place)).collect())) == want
+    after = spark.read.parquet(place).count()
+    assert after > before
+    assert sorted(map(tuple, secrets.digest(secrets.scan_with_ledger(docs, place)).collect())) == want
+    assert spark.read.parquet(place).count() == after
+
+
+def test_a_ledger_row_held_twice_counts_once(spark):
+    docs = documents(spark)
+    first, found = secrets.scan(docs)
+    again = secrets.scan(docs, first.unionByName(first))[1]
+    assert sorted(map(tuple, secrets.digest(again).collect())) == sorted(map(tuple, secrets.digest(found).collect()))
+
+
 def test_secrets_added_kinds(spark):
     docs = documents(spark, [(1, "x -----BEGIN RSA PRIVATE KEY----- y", "en", "a")])
     assert secrets.digest(secrets.scan(docs)[1]).first().spans == "pem:2:33"
@@ -127,5 +153,44 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     assert all(kept[i] for i in range(500)) and not any(kept[900 + i] for i in range(20))
 
 
+def brute_determinant(x):
+    """The estimate of the least determinant from the same starts, on one machine."""
+    d, floors = x.shape[1], np.array(quality.FLOORS)
+    middle = np.quantile(x, 0.5, axis=0, method="inverted_cdf")
+    apart = np.quantile(np.abs(x - middle), 0.5, axis=0, method="inverted_cdf")
+    out = []
+    for precision in (np.diag(1 / floors**2), np.diag(1 / ((1.4826 * apart) ** 2 + floors**2)), np.zeros((d, d))):
+        centre = middle
+        for _ in range(quality.STEPS):
+            gap = x - centre
+            distance = np.einsum("ij,jk,ik->i", gap, precision, gap)
+            core = x[distance <= np.quantile(distance, quality.CORE, method="inverted_cdf")]
+            centre = core.mean(axis=0)
+            scatter = quality.CONSISTENCY * np.cov(core.T, bias=True) + np.diag(floors**2)
+            precision = np.linalg.inv(scatter)
+        out.append((np.linalg.slogdet(scatter)[1], centre, scatter))
+    return min(out, key=lambda o: o[0])[1:]
+
+
+def test_estimates_match_plain_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3)) * [0.3, 2, 0.2] + [1, 5, 0.4]
+    x[:40] += [3, 20, 0]
+    rows = spark.createDataFrame([(*map(float, r), "en", "a") for r in x], "f_symbols double, f_word_length double, f_repeats double, lang string, source string")
+    got = quality.fit(rows).where("level = 0").first()
+    centre, scatter = brute_determinant(x)
+    assert got.rows == 300 and np.allclose(got.centre, centre, atol=0.02) and np.allclose(np.reshape(got.scatter, (3, 3)), scatter, rtol=0.1, atol=0.02)
+    assert abs(quality.CUTOFF - 44.841) < 0.01 and abs(quality.CONSISTENCY - 1.609) < 0.001
+
+
+def test_small_groups_have_a_verdict_of_the_method(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(2, 9)))
+    rows = [(i, " ".join(word() for _ in range(rng.integers(60, 200))), ["en", "fr"][i % 2], f"s{i % 30}") for i in range(150)]
+    rows += [(900, " ".join(word() + "###" for _ in range(100)), "en", "s0"), (901, " ".join(word() + "###" for _ in range(100)), None, None)]
+    kept = {r.doc_id: r.kept for r in quality.judge(documents(spark, rows)).collect()}
+    assert all(kept[i] for i in range(150)) and not kept[900]
+
+
 def test_quality_empty_table(spark):
     assert quality.judge(documents(spark, [])).collect() == []
