@@ -23,7 +23,11 @@ def words(text: str) -> list[str]:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _stemmed(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda row: None if row is None else [stem(t) for t in row])
+    # A word is stemmed once a batch, however often it stands in it.
+    known: dict[str, str] = {}
+    for row in tokens:
+        known.update((t, stem(t)) for t in set(row if row is not None else ()) - known.keys())
+    return tokens.map(lambda row: None if row is None else [known[t] for t in row])
 
 
 class Analyzer:
@@ -71,30 +75,62 @@ def has_phrase(tokens: Column, query: list[tuple[int, str]]) -> Column:
 
 def has_near(tokens: Column, query: list[tuple[int, str]], slop: int) -> Column:
     """Sloppy phrase: some choice of places, each less its place in the query, lies
-    within ``slop``; so a swap of two words costs two."""
+    within ``slop``; so a swap of two words costs two.
+
+    The offset places of all words are sorted together once; of a window that fits,
+    the latest place of each word at its end is as good as any.
+    """
     if len(query) < 2 or slop <= 0:
         return has_phrase(tokens, query)
-
-    def places(at: int, token: str) -> Column:
-        marked = F.transform(tokens, lambda t, i: F.when(t == token, i - at))
-        return F.filter(marked, lambda x: x.isNotNull())
-
-    def search(rest: list, low: Column, high: Column) -> Column:
-        (at, token), *more = rest
-
-        def step(p: Column) -> Column:
-            lo, hi = F.least(low, p), F.greatest(high, p)
-            fits = hi - lo <= slop
-            return fits & search(more, lo, hi) if more else fits
-
-        return F.exists(places(at, token), step)
-
-    (at, token), *more = query
-    # All tokens are there, or there is nothing to search.
-    present = F.lit(True)
-    for _, t in query:
-        present = present & has_token(tokens, t)
-    return F.coalesce(present & F.exists(places(at, token), lambda p: search(more, p, p)), F.lit(False))
+    n = len(query)
+
+    def places(words: Column, k: int) -> Column:
+        """(offset place, word of the query) of each token that is the k-th word."""
+        at, token = query[k]
+        return F.filter(F.transform(words, lambda t, i: F.when(t == token, F.struct((i - at).alias("p"), F.lit(k).alias("k")))), lambda x: x.isNotNull())
+
+    def step(state: Column, hit: Column) -> Column:
+        last = F.transform(state["last"], lambda p, k: F.when(k == hit["k"], hit["p"]).otherwise(p))
+        whole = ~F.exists(last, lambda p: p.isNull()) & (hit["p"] - F.array_min(last) <= slop)
+        return F.struct(last.alias("last"), (state["found"] | whole).alias("found"))
+
+    def search(words: Column) -> Column:
+        start = F.struct(F.array(*[F.lit(None).cast("int")] * n).alias("last"), F.lit(False).alias("found"))
+        found = F.aggregate(F.array_sort(F.concat(*[places(words, k) for k in range(n)])), start, step)["found"]
+        present = F.lit(True)
+        for _, t in query:
+            present = present & F.array_contains(words, t)
+        return F.when(present, found)
+
+    # The tokens are bound once.
+    return F.coalesce(F.get(F.transform(F.array(tokens), search), 0), F.lit(False))
+
+
+def holds(text: Column, tokens: list[str]) -> Column:
+    """Whether a text has these tokens as parts of it: true wherever they are words."""
+    low = F.lower(text)
+    out = F.lit(True)
+    for t in dict.fromkeys(tokens):
+        out = out & low.contains(t)
+    return out
+
+
+def has_fuzzy_run(tokens: Column, query: list[tuple[int, str]], distance: int) -> Column:
+    """Tokens one after the other, as far apart as in the query, each within
+    ``distance`` of its own."""
+    if len(query) == 1:
+        return has_fuzzy(tokens, query[0][1], distance)
+    first = query[0][0]
+    close = lambda i, at, t: F.coalesce(F.levenshtein(F.get(tokens, i + (at - first)), F.lit(t), distance) >= 0, F.lit(False))
+    begins = F.filter(F.transform(tokens, lambda t, i: F.when(F.levenshtein(t, F.lit(query[0][1]), distance) >= 0, i)), lambda i: i.isNotNull())
+
+    def run(i: Column) -> Column:
+        out = F.lit(True)
+        for at, t in query[1:]:
+            out = out & close(i, at, t)
+        return out
+
+    return F.coalesce(F.exists(begins, run), F.lit(False))
 
 
 def has_fuzzy(tokens: Column, token: str, distance: int) -> Column:

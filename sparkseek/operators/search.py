@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..plans.compiler import Compiled, compile_query
+from ..plans.compiler import Compiled, CompileError, compile_query
 from ..plans.schema import Schema
 
 K1, B = 1.2, 0.75
@@ -79,24 +79,37 @@ def expand(spark: SparkSession, sql: str, schema: Schema, df: DataFrame, view: s
     return spark.sql(plain)
 
 
-COMPARES = {
-    "executes": lambda n, b, w, t: True,
-    "zero": lambda n, b, w, t: n == 0,
-    "nonzero": lambda n, b, w, t: n > 0,
-    "eq": lambda n, b, w, t: b > 0 and n == b,
-    "ne": lambda n, b, w, t: b > 0 and n != b,
-    "le": lambda n, b, w, t: b > 0 and n <= b,
-    "lt": lambda n, b, w, t: b > 0 and n < b,
-    "ge": lambda n, b, w, t: b > 0 and n >= b,
-    "gt": lambda n, b, w, t: b > 0 and n > b,
-    "narrows": lambda n, b, w, t: 0 < n < b,
-    "shrinks": lambda n, b, w, t: n < b and (w is None or w > 0),
-    "partitions": lambda n, b, w, t: n > 0 and b > 0 and n + b == t,
+#: (needs a baseline, needs a witness, test of actual, baseline and witness).  What a
+#: count is compared with has to have rows, or the test would say nothing.
+COMPARES: dict[str, tuple[bool, bool, Callable[[int, int, int], bool]]] = {
+    "executes": (False, False, lambda n, b, w: n >= 0),
+    "zero": (False, False, lambda n, b, w: n == 0),
+    "nonzero": (False, False, lambda n, b, w: n > 0),
+    "eq": (True, False, lambda n, b, w: b > 0 and n == b),
+    "ne": (True, False, lambda n, b, w: b > 0 and n != b),
+    "le": (True, False, lambda n, b, w: b > 0 and n <= b),
+    "lt": (True, False, lambda n, b, w: b > 0 and n < b),
+    "ge": (True, False, lambda n, b, w: b > 0 and n >= b),
+    "gt": (True, False, lambda n, b, w: b > 0 and n > b),
+    "narrows": (True, False, lambda n, b, w: b > 0 and 0 < n <= b),
+    "shrinks": (True, False, lambda n, b, w: b > 0 and 0 < n < b),
+    "partitions": (True, True, lambda n, b, w: n > 0 and w > 0 and n + w == b),
 }
 
 
 def conform(spark: SparkSession, df: DataFrame, schema: Schema, cases: list[dict]) -> DataFrame:
-    """Row-count conformance in one pass: (case_name, actual, baseline, witness, result)."""
+    """Row-count conformance in one pass: (case_name, actual, baseline, witness, result).
+
+    A case names a query, a compare and what that needs; one that lacks it, or an
+    unknown compare, is refused with CompileError.
+    """
+    for case in cases:
+        needs = COMPARES.get(case["compare"])
+        if needs is None:
+            raise CompileError(f"{case['name']}: unknown compare {case['compare']}")
+        for part, needed in zip(("baseline", "witness"), needs, strict=False):
+            if needed and case.get(part) is None:
+                raise CompileError(f"{case['name']}: {case['compare']} needs a {part}")
     counts, at = [F.count("*").alias("total")], {}
     for case in cases:
         for part in ("query", "baseline", "witness"):
@@ -107,6 +120,6 @@ def conform(spark: SparkSession, df: DataFrame, schema: Schema, cases: list[dict
     out = []
     for case in cases:
         n, b, w = (row[at[case[p]]] if case.get(p) is not None else None for p in ("query", "baseline", "witness"))
-        passed = COMPARES[case["compare"]](n, 0 if b is None else b, w, row["total"])
+        passed = COMPARES[case["compare"]][2](n, b, w)
         out.append((case["name"], n, b, w, "PASS" if passed else "FAIL"))
     return spark.createDataFrame(out, "case_name string, actual bigint, baseline bigint, witness bigint, result string")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field, replace
 
-from pyspark.errors import IllegalArgumentException
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,9 +138,9 @@ class _Compiler:
             raise CompileError(f"{f.name} is a {f.kind}: no regular expression")
         session = SparkSession.getActiveSession()
         if session is not None:
-            try:
-                session._jvm.java.util.regex.Pattern.compile(pattern)
-            except IllegalArgumentException:
+            try:  # on one row, wherever the session's engine is
+                session.range(1).select(F.lit("").rlike("(?i)" + pattern)).first()
+            except PySparkException:
                 raise CompileError(f"bad regular expression {pattern}") from None
         self.warn("a regular expression reads every row")
         return self.column(f).rlike("(?i)" + pattern)
@@ -167,9 +167,12 @@ class _Compiler:
         if t.fuzzy and t.kind == "word":
             if t.boost is not None:
                 self.warn("a boost has no effect on a fuzzy term")
-            return text.has_fuzzy(tokens, query[0][1], t.fuzzy)
+            return text.has_fuzzy_run(tokens, query, t.fuzzy)
         for _, token in query:
             self.out.ranked.append((f, token, 1.0 if t.boost is None else t.boost))
+        if not analyzer.stems:
+            # Only texts that hold the words at all are cut into tokens.
+            tokens = F.when(text.holds(column, [token for _, token in query]), tokens)
         if len(query) == 1:
             hit = text.has_token(tokens, query[0][1])
             if len(every) > 1:
@@ -191,19 +194,26 @@ class _Compiler:
         self.warn(f"{t.value} is searched for as a source file")
         role = self.resolve(self.schema.source_file)
         value, has_line = t.value.lower(), ":" in t.value
-        if t.fuzzy is not None and not has_line:
-            default = self.resolve("")
-            token = text.Analyzer(default.filters).query(t.value)[0][1]
-            return text.has_fuzzy(text.Analyzer(default.filters).column(F.expr(default.column)), token, t.fuzzy)
-        if t.fuzzy is not None:
+        columns = [role] + ([self.resolve("")] if role.kind == "text" else [])
+        if t.fuzzy is not None and has_line:
             self.warn("a position is matched exactly")
+        elif t.fuzzy is not None and role.kind == "text":
+            # An approximate name: either column may hold it.
+            out = F.lit(False)
+            for f in columns:
+                out = out | self.text(f, replace(t, value=t.value, kind="word"))
+            return out
+        elif t.fuzzy is not None:
+            self.warn(f"{role.name} is not a text field: matched exactly")
         body = re.escape(value).replace(r"\*", "[0-9]*").replace(r"\?", "[0-9]")
         after = "(?![0-9])" if has_line else r"(?![a-z0-9_\-]|\.[a-z0-9])"
         pattern = rf"(^|[^a-z0-9_.\-]){body}{after}"
-        columns = [F.expr(role.column)] + ([F.expr(self.resolve("").column)] if role.kind == "text" else [])
         out = F.lit(False)
-        for c in columns:
-            out = out | F.coalesce(F.lower(c).rlike(pattern), F.lit(False))
+        for f in columns:
+            low = F.lower(F.expr(f.column))
+            # The name without wildcards is looked for first, which is cheap.
+            held = low.contains(re.match(r"[^*?]*", value)[0]) & low.rlike(pattern)
+            out = out | F.coalesce(held, F.lit(False))
         return out
 
     def bound(self, b: Bound) -> Column:
