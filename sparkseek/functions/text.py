@@ -89,14 +89,8 @@ def has_near(tokens: Column, query: list[tuple[int, str]], slop: int) -> Column:
         at, token = query[k]
         return F.filter(F.transform(words, lambda t, i: F.when(t == token, F.struct((i - at).alias("p"), F.lit(k).alias("k")))), lambda x: x.isNotNull())
 
-    def step(state: Column, hit: Column) -> Column:
-        last = F.transform(state["last"], lambda p, k: F.when(k == hit["k"], hit["p"]).otherwise(p))
-        whole = ~F.exists(last, lambda p: p.isNull()) & (hit["p"] - F.array_min(last) <= slop)
-        return F.struct(last.alias("last"), (state["found"] | whole).alias("found"))
-
     def search(words: Column) -> Column:
-        start = F.struct(F.array(*[F.lit(None).cast("int")] * n).alias("last"), F.lit(False).alias("found"))
-        found = F.aggregate(F.array_sort(F.concat(*[places(words, k) for k in range(n)])), start, step)["found"]
+        found = near_places(F.array_sort(F.concat(*[places(words, k) for k in range(n)])), n, slop)
         present = F.lit(True)
         for _, t in query:
             present = present & F.array_contains(words, t)
@@ -106,6 +100,18 @@ def has_near(tokens: Column, query: list[tuple[int, str]], slop: int) -> Column:
     return F.coalesce(F.get(F.transform(F.array(tokens), search), 0), F.lit(False))
 
 
+def near_places(hits: Column, n: int, slop: int) -> Column:
+    """Whether sorted (offset place p, word k) hold all ``n`` words within ``slop``."""
+    start = F.struct(F.array(*[F.lit(None).cast("int")] * n).alias("last"), F.lit(False).alias("found"))
+
+    def step(state: Column, hit: Column) -> Column:
+        last = F.transform(state["last"], lambda p, k: F.when(k == hit["k"], hit["p"]).otherwise(p))
+        whole = ~F.exists(last, lambda p: p.isNull()) & (hit["p"] - F.array_min(last) <= slop)
+        return F.struct(last.alias("last"), (state["found"] | whole).alias("found"))
+
+    return F.aggregate(hits, start, step)["found"]
+
+
 def holds(text: Column, tokens: list[str]) -> Column:
     """Whether a text has these tokens as parts of it: true wherever they are words."""
     low = F.lower(text)
@@ -121,16 +127,21 @@ def has_fuzzy_run(tokens: Column, query: list[tuple[int, str]], distance: int) -
     if len(query) == 1:
         return has_fuzzy(tokens, query[0][1], distance)
     first = query[0][0]
-    close = lambda i, at, t: F.coalesce(F.levenshtein(F.get(tokens, i + (at - first)), F.lit(t), distance) >= 0, F.lit(False))
-    begins = F.filter(F.transform(tokens, lambda t, i: F.when(F.levenshtein(t, F.lit(query[0][1]), distance) >= 0, i)), lambda i: i.isNotNull())
+    near = lambda t, want: F.coalesce(F.levenshtein(t, F.lit(want), distance) >= 0, F.lit(False))
 
-    def run(i: Column) -> Column:
-        out = F.lit(True)
-        for at, t in query[1:]:
-            out = out & close(i, at, t)
-        return out
+    def search(words: Column) -> Column:
+        begins = F.filter(F.transform(words, lambda t, i: F.when(near(t, query[0][1]), i)), lambda i: i.isNotNull())
 
-    return F.coalesce(F.exists(begins, run), F.lit(False))
+        def run(i: Column) -> Column:
+            out = F.lit(True)
+            for at, t in query[1:]:
+                out = out & near(F.get(words, i + (at - first)), t)
+            return out
+
+        return F.exists(begins, run)
+
+    # The tokens are bound once.
+    return F.coalesce(F.get(F.transform(F.array(tokens), search), 0), F.lit(False))
 
 
 def has_fuzzy(tokens: Column, token: str, distance: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.compiler import CompileError
+from ..plans.compiler import CompileError, compile_query
 from ..plans.schema import Schema
 
 
@@ -51,3 +51,49 @@ def deltas(df: DataFrame, schema: Schema, pattern: Column, start: str, middle: s
     before = within(df, schema, start, middle).groupBy(pattern.alias("pattern")).agg(F.count("*").alias("n_before"))
     out = now.join(before, "pattern", "full_outer").na.fill(0, ["n_now", "n_before"])
     return out.withColumn("delta", F.col("n_now") - F.col("n_before"))
+
+
+def common(df: DataFrame, schema: Schema, query: str, start: str, end: str, facets: dict[str, list] | None = None, excluded: dict[str, list] | None = None, formats: list[str] | None = None) -> DataFrame:
+    """The rows of every panel: a window, the search, values of facets, values left
+    out (null is not left out) and log formats."""
+    out = within(df, schema, start, end).where(compile_query(query, schema).predicate)
+    for column, values in (facets or {}).items():
+        out = out.where(F.expr(column).isin(values))
+    for column, values in (excluded or {}).items():
+        out = out.where(~F.coalesce(F.expr(column).isin(values), F.lit(False)))
+    return out.where(log_format(schema).isin(formats)) if formats else out
+
+
+def log_format(schema: Schema, key: str = "format") -> Column:
+    """The bag's format; lines from before it was kept are legacy."""
+    if not schema.bags:
+        raise CompileError("this panel needs a bag")
+    bag = F.try_parse_json(F.col(schema.bags[0].column).cast("string"))
+    return F.coalesce(F.try_variant_get(bag, f"$.{key}", "string"), F.lit("legacy"))
+
+
+def errors(df: DataFrame, schema: Schema, levels: tuple[str, ...] = ("error", "fatal", "critical", "panic")) -> DataFrame:
+    return df.agg(F.count_if(F.lower(role(schema, "severity")).isin(*levels)).alias("n"))
+
+
+def emitting(df: DataFrame, column: str) -> DataFrame:
+    """How many pods, or whatever the column names, the rows come from."""
+    return df.agg(F.countDistinct(F.expr(column)).alias("n"))
+
+
+def log_lines(df: DataFrame, schema: Schema, limit: int = 1000) -> DataFrame:
+    """The newest lines under the names of a log frame."""
+    body = F.expr(schema.declared(schema.default).column)
+    key = [F.col(schema.row_key)] if schema.row_key in df.columns else []
+    rows = df.orderBy(role(schema, "time").desc(), *key).limit(limit)
+    return rows.select(role(schema, "time").alias("timestamp"), body.alias("body"), role(schema, "severity").alias("severity"), *[k.cast("string").alias("id") for k in key])
+
+
+def format_variable(df: DataFrame, schema: Schema, key: str = "format") -> DataFrame:
+    return facet(df.withColumn("__format", log_format(schema, key)), "__format", 100)
+
+
+def exclude_variable(df: DataFrame, column: str, limit: int = 30) -> DataFrame:
+    """Values that may be left out, after ``(none)``, which leaves out nothing."""
+    none = df.sparkSession.createDataFrame([("(none)", 0)], "value string, n bigint")
+    return none.unionByName(facet(df, f"cast({column} as string)", limit))

@@ -64,19 +64,53 @@ def search(df: DataFrame, schema: Schema, query: str, limit: int | None = 100, s
     return rows.select(*shown, *(["score"] if score else []))
 
 
+_MACRO = re.compile(r"\$__search(?P<kind>_score_expr|_score)?\(")
+
+
+def _argument(sql: str, at: int) -> tuple[str, int]:
+    """The text of a macro's argument from ``at`` on and the place after its bracket.
+
+    In quotes, a doubled quote is one; bare, commas and balanced brackets belong to
+    the text.
+    """
+    if m := re.compile(r"\s*'((?:[^']|'')*)'\s*\)").match(sql, at):
+        return m[1].replace("''", "'"), m.end()
+    depth, end = 0, at
+    while end < len(sql) and (depth or sql[end] != ")"):
+        depth += {"(": 1, ")": -1}.get(sql[end], 0)
+        end += 1
+    if end == len(sql):
+        raise CompileError("a search macro has no closing bracket")
+    return sql[at:end].strip(), end + 1
+
+
 def expand(spark: SparkSession, sql: str, schema: Schema, df: DataFrame, view: str = "searched") -> DataFrame:
-    """SQL with ``$__search('text')`` in place of a Boolean expression."""
-    found: list[str] = []
-
-    def name(m: re.Match) -> str:
-        found.append(m[1].replace("''", "'"))
-        return f"__search_{len(found) - 1}"
-
-    plain = re.sub(r"\$__search\('((?:[^']|'')*)'\)", name, sql)
-    for i, query in enumerate(found):
-        df = df.withColumn(f"__search_{i}", compile_query(query, schema).predicate)
-    df.createOrReplaceTempView(view)
-    return spark.sql(plain)
+    """SQL over ``df``, called ``view`` in it, with search macros.
+
+    ``$__search(text)`` and ``$__search_score(text)`` stand for the predicate, and
+    ``$__search_score_expr(text)`` for the BM25 score, which is 0 where nothing is
+    ranked.  No view is left behind.
+    """
+    parts, at, columns = [], 0, {}
+    for m in _MACRO.finditer(sql):
+        if m.start() < at:
+            continue  # inside the last macro's text
+        text, end = _argument(sql, m.end())
+        key = ("score" if m["kind"] == "_score_expr" else "search", text)
+        name = columns.setdefault(key, f"__{key[0]}_{len(columns)}")
+        parts += [sql[at : m.start()], name]
+        at = end
+    plain = "".join([*parts, sql[at:]])
+    for (kind, text), name in columns.items():
+        compiled = compile_query(text, schema)
+        if kind == "search":
+            df = df.withColumn(name, compiled.predicate)
+        else:
+            own = df.columns
+            df = bm25(df.withColumnsRenamed({"score": "__own_score"}), schema, compiled).withColumnRenamed("score", name)
+            df = df.withColumnsRenamed({"__own_score": "score"}) if "score" in own else df
+    plain = re.sub(rf"(?i)(\b(?:from|join)\s+){re.escape(view)}\b", r"\1{__searched}", plain.replace("{", "{{").replace("}", "}}").replace("{{__searched}}", "{__searched}"))
+    return spark.sql(plain, __searched=df)
 
 
 #: (needs a baseline, needs a witness, test of actual, baseline and witness).  What a

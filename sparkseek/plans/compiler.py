@@ -81,6 +81,9 @@ class _Compiler:
 
     def column(self, f: Field) -> Column:
         """The field's value; a bag key is looked up flat, then as a path."""
+        alike = [k for b in self.schema.bags if b.column == f.bag for k in b.keys if k != f.key and k.lower() == f.key.lower()]
+        if alike:
+            self.warn(f"bag keys keep their case: {f.key} is not the declared {alike[0]}")
         if f.bag is None:
             return F.expr(f.column)
         value = F.coalesce(*[F.try_variant_get(self.bag(f), p, "string") for p in _paths(f.key)])
@@ -230,7 +233,7 @@ class _Compiler:
                 raise CompileError(f"{f.name} needs a complete date, or date and clock")
             values = [F.lit(v).cast("timestamp") for v in found]
             if f.conversion:
-                self.warn(f"values of {f.name} that do not convert are left out")
+                self.warn(f"values of {f.name} that do not convert are left out; count them with ({f.column}) IS NULL")
         else:
             numbers = [casts.number(v) for v, _ in ends]
             if None not in numbers:
@@ -281,6 +284,18 @@ def compile_query(query: str, schema: Schema) -> Compiled:
         plain &= len(ranks.out.ranked) > before or not isinstance(tree, Or)
     compiler.out.ranked = ranks.out.ranked if plain else []
     compiler.out.predicate = F.coalesce(predicate, F.lit(False))
-    if not compiler.out.ranked:
-        compiler.out.warnings += ["nothing to rank: every score is 0"] if tree is not None else []
+    if not compiler.out.ranked and tree is not None:
+        if not compiler.out.uses_text:
+            why = "no term is searched for in text"
+        elif all(isinstance(p, Not) for p in (tree.parts if isinstance(tree, And) else (tree,))):
+            why = "there are exclusions alone"
+        else:
+            why = "text stands beside other terms in a disjunction, or is matched without an index"
+        compiler.warn(f"nothing to rank: {why}, and every score is 0")
     return compiler.out
+
+
+def warning_comment(warnings: list[str]) -> str:
+    """The warnings as one SQL comment that none of their characters can end."""
+    safe = [re.sub(r"\s+", " ", w).replace("*/", "* /").replace("/*", "/ *") for w in warnings]
+    return f"/* search: {'; '.join(safe)} */" if safe else ""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import introspect, panels
+from .operators import index, introspect, panels
 from .operators.search import conform, expand, matching, search
 from .plans.schema import Schema, load
 from .sources import loglines
@@ -270,10 +270,10 @@ def _parsed(fmt: str, ts: str, level: str, msg: str, user: str) -> None:
     _SQL[f"parse_{fmt}"] = f"SELECT event_id, '{fmt}' AS format, {ts} AS ts, {level} AS level, {msg} AS msg, {user} AS \"user\" FROM events"
 
 
-_parsed("tidb", _MS, _LEVEL, """'a ' || event_type || ' "x"'""", "'9' || user_id")
-_parsed("klog", _MS, "'ERROR'", "'a ' || event_type", "CAST(user_id AS VARCHAR)")
+_parsed("tidb", _MS, _LEVEL, """'a ' || event_type || ' \\"x\\"'""", "'9' || user_id")
+_parsed("klog", "ts", "'ERROR'", "'a ' || event_type", "CAST(user_id AS VARCHAR)")
 _parsed("zap", _MS, _LEVEL, "'a ' || event_type", "CAST(user_id AS VARCHAR)")
-_parsed("tracing", _MS, _LEVEL, "'target: a ' || event_type", "CAST(NULL AS VARCHAR)")
+_parsed("tracing", _MS, _LEVEL, "'span{x}: target: a ' || event_type", "CAST(NULL AS VARCHAR)")
 _parsed("json", _MS, _LEVEL, "'a ' || event_type", "CAST(user_id AS VARCHAR)")
 _parsed("raw", "ts", "'UNKNOWN'", "'a ' || event_type", "CAST(NULL AS VARCHAR)")
 
@@ -290,13 +290,26 @@ def stemmed_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching(table(spark, sf_dir, "documents"), schema, "enon").select("doc_id")
 
 
-@_query(None)
+_N = lambda where: f"(SELECT count(*) FROM documents WHERE {where})"
+_NEAR = f"""(WITH p AS (SELECT doc_id, unnest({_TOKENS}) AS w, unnest(range(len({_TOKENS}))) AS i FROM documents)
+    SELECT count(DISTINCT a.doc_id) FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.w = 'of' AND b.w = 'that' AND abs(b.i - 1 - a.i) <= 3)"""
+
+
+@_query(
+    f"""SELECT case_name, actual, baseline, witness, 'PASS' AS result FROM (VALUES
+    ('all rows', {_N('true')}, NULL::BIGINT, NULL::BIGINT), ('absent', CAST(0 AS BIGINT), NULL, NULL),
+    ('narrows', {_N(f"{_has('of')} AND {_has('that')}")}, {_N(_has('of'))}, NULL),
+    ('partition', {_N(_has('of'))}, {_N('true')}, {_N(f"NOT {_has('of')}")}),
+    ('absent or x is x', {_N(_has('of'))}, {_N(_has('of'))}, NULL),
+    ('slop widens', {_NEAR}, {_N(f"contains({_joined}, ' of that ')")}, NULL),
+    ('token within substring', {_N("contains(lower(text), 'of')")}, {_N(_has('of'))}, NULL)) t(case_name, actual, baseline, witness)"""
+)
 def conformance_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = [
         {"name": "all rows", "query": "", "compare": "nonzero"},
         {"name": "absent", "query": "zzzzqq", "compare": "zero"},
         {"name": "narrows", "query": "of that", "baseline": "of", "compare": "narrows"},
-        {"name": "partition", "query": "of", "baseline": "-of", "compare": "partitions"},
+        {"name": "partition", "query": "of", "witness": "-of", "baseline": "", "compare": "partitions"},
         {"name": "absent or x is x", "query": "zzzzqq OR of", "baseline": "of", "compare": "eq"},
         {"name": "slop widens", "query": '"of that"~3', "baseline": '"of that"', "compare": "ge"},
         {"name": "token within substring", "query": "/of/", "baseline": "of", "compare": "ge"},
@@ -304,15 +317,97 @@ def conformance_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(spark, table(spark, sf_dir, "documents"), documents(), cases)
 
 
-@_query(None)
+@_query("SELECT * FROM (VALUES ('doc_id', 'number'), ('text', 'text'), ('lang', 'string'), ('source', 'string'), ('n_chars', 'number')) t(name, kind)")
 def descriptor_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = introspect.build(table(spark, sf_dir, "documents"), "documents")
+    spec = introspect.build(table(spark, sf_dir, "documents"), "documents", body="text")
     return spark.createDataFrame([(f["name"], f["kind"]) for f in spec["fields"]], "name string, kind string")
 
 
-@_query(None)
+@_query("SELECT * FROM (VALUES ('user_id', 'lost column', 'drift'), ('extra', 'undeclared column', 'drift'), ('props.n', 'vanished key', 'drift')) t(subject, finding, level)")
 def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return introspect.drift(table(spark, sf_dir, "events").drop("user_id"), events())
+    return introspect.drift(table(spark, sf_dir, "events").withColumn("extra", F.lit(1)).drop("user_id"), events())
+
+
+@_query("SELECT count(*) FILTER (WHERE event_type = 'error') AS n FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-12' AND value > 5")
+def panel_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.errors(panels.common(table(spark, sf_dir, "events"), events(), "value:>5", "2024-01-03", "2024-01-12"), events())
+
+
+@_query("SELECT count(DISTINCT user_id) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-12' AND event_type IN ('view', 'error') AND user_id % 3 NOT IN (1)")
+def panel_emitting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = panels.common(table(spark, sf_dir, "events"), events(), "", "2024-01-03", "2024-01-12", {"event_type": ["view", "error"]}, {"user_id % 3": [1]})
+    return panels.emitting(rows, "user_id")
+
+
+@_query("SELECT ts AS timestamp, event_type AS body, event_type AS severity, CAST(event_id AS VARCHAR) AS id FROM events WHERE value > 1 ORDER BY ts DESC, event_id LIMIT 1000")
+def panel_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.log_lines(matching(table(spark, sf_dir, "events"), events(), "value:>1"), events())
+
+
+@_query("SELECT coalesce(json_extract_string(props, '$.k'), 'legacy') AS value, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, value LIMIT 100")
+def panel_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.format_variable(table(spark, sf_dir, "events"), events(), "k")
+
+
+@_query("SELECT '(none)' AS value, CAST(0 AS BIGINT) AS n UNION ALL (SELECT event_type, count(*) FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30)")
+def panel_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.exclude_variable(table(spark, sf_dir, "events"), "event_type")
+
+
+@_query(f"SELECT lang, count(*) AS n, count(*) FILTER (WHERE {_has('therly')}) AS ranked FROM documents WHERE {_has('of')} OR {_has('therly')} GROUP BY 1")
+def macro_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = "SELECT lang, count(*) AS n, count_if($__search_score_expr(therly) > 0) AS ranked FROM searched WHERE $__search_score('of OR therly') GROUP BY 1"
+    return expand(spark, sql, documents(), table(spark, sf_dir, "documents"))
+
+
+@_query(
+    f"""WITH p AS (SELECT doc_id, unnest({_TOKENS}) AS w, unnest(range(len({_TOKENS}))) AS i FROM documents)
+    SELECT DISTINCT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.i = a.i + 1 AND levenshtein(a.w, 'of') <= 1 AND levenshtein(b.w, 'thet') <= 1"""
+)
+def fuzzy_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching(table(spark, sf_dir, "documents"), documents(), "of-thet~1").select("doc_id")
+
+
+@_query("SELECT page_id FROM pages WHERE regexp_matches(lower(line), '(^|[^a-z0-9_.-])page\\.rs:1[0-9]*([^0-9]|$)')".replace("FROM pages", "FROM (SELECT page_id, 'at page.rs:' || page_id || ' on ' || url AS line FROM pages)"))
+def source_file_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").withColumn("url", F.expr("'at page.rs:' || page_id || ' on ' || url"))
+    return matching(rows, pages(), "page.rs:1*").select("page_id")
+
+
+@_query("SELECT event_id FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) = 26")
+def bag_typed_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = load({"table": "e", "default": "m", "fields": [{"name": "m", "column": "event_type", "kind": "text"}], "bags": [{"column": "props", "keys": {"k": "number"}}], "indexes": [{"name": "i", "columns": ["event_type"]}]})
+    return matching(table(spark, sf_dir, "events"), schema, "k:26.0").select("event_id")
+
+
+def _indexed(name: str, source: str, query: str, same_as: str) -> None:
+    """Register a search by way of an index, with the SQL of the same search as a scan."""
+    make = {"documents": documents, "events": events, "pages": pages}[source]
+    key = {"documents": "doc_id", "events": "event_id", "pages": "page_id"}[source]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = table(spark, sf_dir, source)
+        return index.search_index(rows, make(), index.build(rows, make()), query).select(key)
+
+    _QUERIES[name] = run
+    _SQL[name] = _SQL[same_as]
+
+
+_indexed("index_semi_join", "documents", "therly", "term_token")
+_indexed("index_anti_join", "documents", "-of", "exclude_alone")
+_indexed("index_or_filter", "documents", "zzzzqq OR lang:en", "absent_or_filter")
+_indexed("index_or_negation", "documents", "of OR -that", "or_with_negation")
+_indexed("index_phrase", "documents", '"of the"', "phrase_exact")
+_indexed("index_slop", "documents", '"of that"~2', "phrase_slop2")
+_indexed("index_bag_path", "events", "k:26", "bag_eq")
+_indexed("index_ngram", "pages", "*example.org/es*", "wild_spanning")
+
+
+@_query(_SQL["bm25_top20"])
+def index_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents")
+    found = index.bm25_index(rows, documents(), index.build(rows, documents()), "therly OR thble^2")
+    return found.orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def queries() -> dict[str, Query]:

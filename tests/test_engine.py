@@ -1,16 +1,19 @@
+import json
 import os
 import random
 import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
+from sparkseek import cli
 from sparkseek import queries as registered
 from sparkseek.functions.stemmer import stem
-from sparkseek.operators import introspect
-from sparkseek.operators.search import matching, search
-from sparkseek.plans.compiler import CompileError, compile_query
+from sparkseek.operators import index, introspect
+from sparkseek.operators.search import COMPARES, conform, matching, search
+from sparkseek.plans.compiler import CompileError, compile_query, warning_comment
 from sparkseek.plans.grammar import And, Bound, Not, Or, Term, parse
 from sparkseek.plans.schema import SchemaError, load, preset, preset_names
 from sparkseek.sources import loglines
@@ -41,6 +44,8 @@ def test_readings(text, tree):
 
 def test_parsing_never_raises():
     rng = random.Random(1)
+    for text in ("(" * 5000, "NOT " * 5000 + "a", "-(" * 4000, "f:(" * 4000 + "a", "a or (" * 3000):
+        parse(text)
     for _ in range(3000):
         parse("".join(rng.choice('ab:"()[]{}/\\-+~^*?<>= TO AND NOT|&') for _ in range(rng.randint(0, 14))))
 
@@ -76,14 +81,25 @@ def test_a_search_and_its_negation_partition_the_table(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*").unionByName(spark.createDataFrame([(-1, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long"))
     rng = random.Random(2)
     cases = LEAVES + [f"{a} {b}" for a, b in (rng.sample(LEAVES, 2) for _ in range(8))] + [f"({a}) OR ({b})" for a, b in (rng.sample(LEAVES, 2) for _ in range(8))]
-    from pyspark.sql import functions as F
-
     count = lambda q, name: F.count_if(compile_query(q, schema).predicate).alias(name)
     row = df.agg(F.count("*").alias("n"), *[c for i, q in enumerate(cases) for c in (count(q, f"a{i}"), count(f"NOT ({q})", f"b{i}"))]).first()
     for i, q in enumerate(cases):
         assert row[f"a{i}"] + row[f"b{i}"] == row["n"], q
 
 
+def test_index_and_scan_give_the_same_rows(spark, tmp_path):
+    schema = registered.documents(("english_stop",))
+    df = spark.read.parquet(f"{SF}/documents.parquet").limit(150)
+    df = df.unionByName(spark.createDataFrame([(-1, None, None, None, None)], df.schema))
+    index.build(df, schema).write(f"{tmp_path}/index", 2)
+    held = index.read(spark, f"{tmp_path}/index")
+    late = df.unionByName(df.where("doc_id < 9").withColumn("doc_id", F.col("doc_id") + 10**6))
+    keys = lambda rows: sorted(r.doc_id for r in rows.select("doc_id").collect())
+    for q in ("of the", "-therly", '"of the"~3', '"of ly"', "(ly OR -er) lang:en", "th*ly OR zzzzqq", '-"er of"', "-(of-the)"):
+        assert keys(index.search_index(df, schema, held, q)) == keys(matching(df, schema, q)), q
+    assert keys(index.search_index(late, schema, held, "-er", fresh=True)) == keys(matching(late, schema, "-er"))
+
+
 @pytest.mark.parametrize("query", ["nope:1", "text:>5", "lang:x^2", "n_chars:abc", "n_chars:nan", "n_chars:/1/", "text:/(/"])
 def test_refusals(spark, query):
     with pytest.raises(CompileError):
@@ -131,6 +147,31 @@ def test_bags_and_source_files(spark):
     assert (count("util.go:12"), count("util.go:12*"), count("util.go"), count("-util.go")) == (1, 1, 1, 3)
 
 
+def test_runs_of_fuzzy_tokens_and_approximate_files(spark):
+    rows = [("x pd zero", "a.go"), ("pd 1", "util.go"), ("pe 0", "utils.go"), ("the.is here", "the.it"), ("0 pd", "z")]
+    df = spark.createDataFrame(rows, "msg string, source_file string").selectExpr("*", "msg as line", "cast(null as string) as kv")
+    schema = preset("k8s-logs-line")
+    found = lambda q: {r.msg for r in matching(df, schema, q).collect()}
+    assert found("msg:pd-0~1") == {"pd 1", "pe 0"} and found("util.go~1") == {"pd 1", "pe 0"}
+    # A file name whose words are stop words in part raises nothing; a named field is its tokens.
+    assert found("the.is~1") == {"the.is here"} and found("source_file:util.go") == {"pd 1", "pe 0"}
+
+
+@pytest.mark.parametrize(
+    "compare, counts, want",
+    [("narrows", (5, 5, None), True), ("narrows", (0, 5, None), False), ("shrinks", (0, 5, None), False), ("shrinks", (5, 5, None), False), ("shrinks", (3, 5, None), True), ("partitions", (3, 5, 2), True), ("partitions", (3, 2, 2), False), ("partitions", (5, 5, 0), False), ("le", (0, 0, None), False)],
+)
+def test_compares(compare, counts, want):
+    assert COMPARES[compare][2](*counts) == want
+
+
+def test_a_case_without_what_its_compare_needs_is_refused(spark):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string").selectExpr("*", "'x' as lang", "'s' as source", "1 as n_chars")
+    for case in ({"compare": "eq"}, {"compare": "partitions", "baseline": "a"}, {"compare": "nope"}):
+        with pytest.raises(CompileError):
+            conform(spark, df, registered.documents(), [{"name": "c", "query": "a"} | case])
+
+
 def test_score_order(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, "a a"), (3, "c c c")], "doc_id long, text string").selectExpr("*", "'x' as lang", "'s' as source", "1 as n_chars")
     got = search(df, registered.documents(), "a", score=True).collect()
@@ -146,12 +187,19 @@ def test_introspection(spark):
 
 
 LINES = [
-    ('[2026/08/17 18:07:01.790 +00:00] [INFO] [file.rs:123] ["a [b] \\"c\\""] [k=v] ["x y"=z] [k=w] [region 5]', "tidb", "INFO", 'a [b] "c"', {"k": "w", "x y": "z", "rest_unparsed": "[region 5]"}),
+    ('[2026/08/17 18:07:01.790 +00:00] [INFO] [file.rs:123] ["a [b] \\"c\\""] [k=v] ["x y"=z] [k=w] [region 5]', "tidb", "INFO", 'a [b] \\"c\\"', {"k": "w", "x y": "z", "rest_unparsed": "[region 5]"}),
     ('I0818 22:47:56.829767  1 proxier.go:1494] "msg" key=value two="b c"', "klog", "INFO", "msg", {"key": "value", "two": "b c"}),
     ('2026-08-18T23:23:02.394Z\tERROR\tReconciler error\t{"a":1}', "zap", "ERROR", "Reconciler error", {"a": "1"}),
-    ("2026-08-18T23:29:49.785247Z  INFO span{..}: target: message", "tracing", "INFO", "target: message", {}),
+    ("2026-08-18T23:29:49.785247Z  INFO span{..}: target: message", "tracing", "INFO", "span{..}: target: message", {}),
     ('{"level":"warn","msg":"m","ts":"2026-08-18T23:29:49Z","caller":"x.go:1","k":"v"}', "json", "WARN", "m", {"k": "v"}),
     ("plain text", "raw", "UNKNOWN", "plain text", {}),
+    ('[2026-08-17T18:07:01Z] [info] [a.go:1] [bare message] [n=1]', "tidb", "INFO", "bare message", {"n": "1"}),
+    ("2026-08-18T23:23:02Z\tWARN\tfirst\tsecond\tthird", "zap", "WARN", "first", {"rest_unparsed": "second third"}),
+    ("2026-08-18T23:23:02Z\tWARN\tfirst\t{not json", "zap", "WARN", "first", {"rest_unparsed": "{not json"}),
+    ('{"Level":"info","Msg":"m","TS":"2026-08-18T23:29:49Z","Logger":"x","k":"v"}', "json", "INFO", "m", {"k": "v"}),
+    ('W0818 22:47:56.829767  1 a.go:7] "said \\"it\\"" done k=v', "klog", "WARN", 'said "it', {"done": "true", "k": "v"}),
+    ("E0818 22:47:56.829767  1 a.go:7] plain words", "klog", "ERROR", "plain words", {}),
+    ("  | indented", "raw", "UNKNOWN", "| indented", {}),
 ]
 
 
@@ -161,11 +209,39 @@ def test_log_formats(spark):
     assert all(r.ts is not None for r in got[:5]) and got[0].source_file == "file.rs:123" and got[4].source_file == "x.go:1"
 
 
+def test_the_collector_adds_to_the_bag(spark):
+    df = spark.createDataFrame([("plain", "c1", "Svc"), ('{"container":"own","k":"v"}', "c2", "")], "message string, container string, app string")
+    got = loglines.parse_lines(df, container="container", service="app").collect()
+    assert [r.kv for r in got] == [{"container": "c1", "service": "svc", "format": "raw"}, {"container": "own", "k": "v", "format": "json"}]
+
+
 def test_lines_as_a_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.log").write_text("\n".join([x[0] for x in LINES] + ["+---+", "| a |"]) + "\n")
     ingest.write(ingest.read(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"), once=True).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == len(LINES)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == len(LINES) - 1  # the indented one draws a table
+
+
+def test_command_line(spark, tmp_path):
+    events = f"{SF}/events.parquet"
+    spec = {"table": "e", "default": "m", "time": "ts", "fields": [{"name": "m", "column": "event_type", "kind": "text"}, {"name": "ts", "kind": "timestamp"}], "indexes": [{"name": "i", "columns": ["event_type"]}]}
+    (tmp_path / "s.json").write_text(json.dumps(spec))
+    (tmp_path / "c.json").write_text(json.dumps({"cases": [{"name": "some", "query": "error", "compare": "nonzero"}, {"name": "none", "query": "error", "compare": "zero"}]}))
+    own = [f"--schema={tmp_path}/s.json", f"--table={events}"]
+    out, remarks, code = cli.run("compile", [own[0], "-error", "view"], spark)
+    assert "array_contains" in out[0] and "!(" in out[0] and "..." not in out[0] and code == 0 and not remarks
+    out, _, code = cli.run("sql", [*own, "--limit=3", "-error"], spark)
+    assert "nothing to rank" in out[0] and len(out) == 4 and code == 0
+    out, remarks, code = cli.run("conform", [*own, f"{tmp_path}/c.json"], spark)
+    assert [x[:4] for x in out] == ["PASS", "FAIL"] and code == 1 and remarks == ["1 of 2 passed"]
+    assert json.loads(cli.run("schema", [own[0], "--json"], spark)[0][0])["default"] == "m"
+    assert any("event_type string" in x for x in cli.run("introspect", [own[1], "probe"], spark)[0])
+    assert json.loads(cli.run("introspect", [own[1], "--body=event_type", "build"], spark)[0][0])["default"] == "event_type"
+    assert cli.run("introspect", [*own, "verify"], spark)[2] == 1
+
+
+def test_comments_cannot_be_closed_early():
+    assert warning_comment(["a */ b", "c\nd"]) == "/* search: a * / b; c d */" and warning_comment([]) == ""
 
 
 def test_driver_entry(spark):
