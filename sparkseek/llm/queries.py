@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +48,9 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import shared_folder
     from .secrets import digest, scan_with_ledger
 
-    # The ledger outlives the query: a text that was scanned before is not scanned again.
-    return digest(scan_with_ledger(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/secret-ledger"))
+    # A ledger for each table outlives the query: texts scanned before are not scanned again.
+    name = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    return digest(scan_with_ledger(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/secret-ledger-{name}"))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
