@@ -78,7 +78,7 @@ class Schema:
         return "\n".join([*lines, *(f"note: {n}" for n in self.notes)])
 
 
-_KEYS = {"table", "default", "time", "severity", "source_file", "display", "time_zone", "row_key", "case_insensitive", "fields", "bags", "indexes", "name", "description"}
+_KEYS = {"table", "default", "time", "severity", "source_file", "display", "time_zone", "row_key", "case_insensitive", "fields", "bags", "variant", "indexes", "name", "description"}
 
 
 def load(source: str | dict) -> Schema:
@@ -103,7 +103,8 @@ def load(source: str | dict) -> Schema:
                 where[column] = index
         notes += [f"filter {x} of index {index['name']} is not modelled" for x in index.get("filters", []) if x not in ("english_stop", "english_stemmer")]
     bags, prefixes = [], set()
-    for bag in spec.get("bags", []):
+    # ``variant`` is the short form of one bag.
+    for bag in spec.get("bags") or ([{"column": spec["variant"]}] if spec.get("variant") else []):
         if not bag.get("column"):
             raise SchemaError("a bag needs a column")
         prefix = bag.get("prefix", "")
@@ -170,27 +171,35 @@ def load(source: str | dict) -> Schema:
     return replace(schema, notes=tuple(notes))
 
 
-def _logs(line: bool) -> dict:
-    text = {"kind": "text"}
-    columns = ["msg", "line", "source_file"] if line else ["msg"]
-    plain = [{"name": n, "kind": "string"} for n in ("component", "level", "namespace", "pod", "node")]
-    fields = [{"name": "ts", "kind": "timestamp", "aliases": ["timestamp"]}, *plain, {"name": "msg", "aliases": ["message"], **text}]
-    if line:
-        fields += [{"name": "line", "aliases": ["body"], **text}, {"name": "source_file", "aliases": ["file"], **text}, {"name": "raw", "kind": "string"}]
-    else:
-        fields.append({"name": "source_file", "kind": "string"})
-    return {
-        "table": "k8s_logs", "default": "line" if line else "msg", "time": "ts", "severity": "level", "source_file": "source_file", "row_key": "_row_id",
-        "fields": fields, "bags": [{"column": "kv"}],
-        "indexes": [{"name": "idx", "columns": columns, "filters": ["english_stop", "english_stemmer"]}, {"name": "ng", "kind": "ngram", "columns": ["msg"]}],
-    }
+# The presets of the collector's table.
+_STRINGS = ("component", "level", "namespace", "pod", "node")
+_ROLES = {"table": "logs.k8s_logs", "row_key": "_row_id", "time": "ts", "severity": "level", "source_file": "source_file", "variant": "kv", "case_insensitive": True}
+_ENGLISH = {"tokenizer": "english", "filters": ["english_stop", "english_stemmer"]}
+_COMMON = [{"name": "msg", "kind": "text", "aliases": ["message"]}, {"name": "ts", "kind": "timestamp", "aliases": ["timestamp"]}, *({"name": n, "kind": "string"} for n in _STRINGS)]
+PRESETS = {
+    "k8s-logs": _ROLES
+    | {
+        "default": "msg", "display": ["ts", "level", "component", "pod", "node", "source_file", "msg"],
+        "indexes": [{"name": "idx_msg", "kind": "inverted", "columns": ["msg"], **_ENGLISH}, {"name": "idx_msg_ng", "kind": "ngram", "columns": ["msg"]}],
+        "fields": [*_COMMON, {"name": "source_file", "kind": "string"}],
+    },
+    "k8s-logs-line": _ROLES
+    | {
+        "default": "line", "display": ["ts", "level", "component", "pod", "node", "source_file", "line"],
+        "indexes": [{"name": "idx_msg", "kind": "inverted", "columns": ["msg", "line", "kv", "source_file"], **_ENGLISH}, {"name": "idx_msg_ng", "kind": "ngram", "columns": ["msg", "line"]}],
+        "fields": [
+            {"name": "line", "kind": "text", "aliases": ["body"]}, *_COMMON,
+            {"name": "source_file", "kind": "text", "aliases": ["file"]}, {"name": "raw", "kind": "string"},
+        ],
+    },
+}
 
 
 def preset(name: str) -> Schema:
     if name not in preset_names():
         raise SchemaError(f"unknown preset {name}; there are {', '.join(preset_names())}")
-    return load(_logs(name == "k8s-logs-line"))
+    return load(PRESETS[name])
 
 
 def preset_names() -> tuple[str, ...]:
-    return ("k8s-logs", "k8s-logs-line")
+    return tuple(PRESETS)
