@@ -153,17 +153,19 @@ def test_line_dedup_has_no_python_in_its_plan(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_line_bands_find_pairs_near_the_limit(spark):
-    """Sets of 15 random shingle hashes in all, 12 of them shared: nearly all such pairs have an equal band."""
+@pytest.mark.parametrize("size", [5, 15, 60])
+def test_line_bands_find_pairs_near_the_limit(spark, size):
+    """Sets of random shingle hashes of similarity 0.8: nearly all such pairs have an equal band."""
     rng = np.random.default_rng(7)
-    sides = [0] * 12 + [1, 1, 2]
-    rows = [(pair, side, int(x)) for pair in range(600) for side, x in zip(sides, rng.integers(0, 2**32, 15), strict=True)]
+    sides = [0] * (size * 4 // 5) + [1, 2] * (size // 5)
+    hashes = rng.integers(-(2**63), 2**63 - 1, (500, size), dtype=np.int64)
+    rows = [(pair, side, int(x)) for pair, own in enumerate(hashes) for side, x in zip(sides, own, strict=False)]
     df = spark.createDataFrame(rows, "pair int, side int, x bigint")
-    n = line_dedup.BANDS * line_dedup.ROWS
-    minima = [F.min(line_dedup._mixed(i)).alias(f"m{i}") for i in range(n)]
-    one, two = (df.where(F.col("side") != gone).groupBy("pair").agg(*minima).orderBy("pair").toPandas().to_numpy()[:, 1:] for gone in (1, 2))
-    equal = (one == two).reshape(600, line_dedup.BANDS, line_dedup.ROWS).all(axis=2).any(axis=1)
-    assert equal.mean() >= 0.98
+    names = [[f"x{q}"] * 2 for q in range(line_dedup.GROUPS)]
+    df = df.select("pair", "side", *[line_dedup._turned(F.col("x"), turn).alias(f"x{q}") for q, turn in enumerate(line_dedup._TURNS)])
+    signed = lambda gone: df.where(F.col("side") != gone).groupBy("pair").agg(*line_dedup._minima(names)).select("pair", line_dedup._band_keys().alias("keys"))
+    both = signed(1).alias("a").join(signed(2).alias("b"), "pair").where(F.arrays_overlap("a.keys", "b.keys"))
+    assert both.count() >= 0.98 * 500
 
 
 def test_short_lines_have_near_copies(spark):
