@@ -215,3 +215,23 @@ def test_lines_that_differ_within_long_words_stay(spark):
     texts = dict(enumerate(lines))
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, [(i, x, "en", "a") for i, x in texts.items()])).collect()}
     assert got == all_window_lines(texts) and [i for i in got if not got[i]] == [3, 5]
+
+
+def test_only_lines_with_a_copy_leave_the_first_pass(spark):
+    rng = random.Random(17)
+    own = [" ".join(f"word{rng.randint(0, 10**6)}" for _ in range(12)) for _ in range(300)]
+    rows = [(i, "\n".join([x, "found everywhere", *([own[0] + " more"] if i == 7 else [])]), "en", "a") for i, x in enumerate(own)]
+    every = line_dedup._lines(documents(spark, rows))
+    signed = common.settle(line_dedup._signed(every))
+    held = common.settle(line_dedup._held(signed, line_dedup._members(signed)))
+    found = line_dedup._found(every, held).collect()
+    assert held.count() == 3 and sum(r.line is not None for r in found) <= 4
+    assert 302 <= len(found) <= 310 and {r.line for r in found if r.line} >= {own[0], own[0] + " more"}
+
+
+def test_bit_tables_let_every_member_through(spark):
+    for n in (0, 1, 5000, 100_000):
+        rows = spark.range(2 * n + 10).select(F.xxhash64("id").alias("h"), (F.col("id") < n).alias("member"))
+        got = common.has_bit(rows, "h", common.bit_table(rows.where("member").select("h")))
+        let = got.agg(F.count("*"), F.count_if(F.col("member") & F.col("bit")), F.count_if(~F.col("member") & F.col("bit"))).first()
+        assert let[0] == 2 * n + 10 and let[1] == n and let[2] <= 0.13 * n + 5
