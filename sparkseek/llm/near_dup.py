@@ -18,21 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, settle
-from .linking import RING, link
+from .linking import PERCENT, RING, link
 from .textkernel import Words, mix64, shingles, slices, utf8
 
 #: Bands and rows of a band: a pair of similarity 0.8 shares no band with
 #: probability (1 - 0.8**5)**32, three in a million.
 BANDS, ROWS = 32, 5
-#: Coordinates in all; those beyond the bands only sharpen the estimate.
-COORDINATES = 640
-#: Least share of equal four-bit marks of a pair that is still compared; a pair of
-#: similarity 0.8 has 0.8125 on average, and falls below this with a probability of
-#: six in 100,000.
-LEAST_EQUAL = 0.753
 #: Rows of a block when a bucket is searched.
-BLOCK = 1024
-_SHIFTS = np.arange(COORDINATES, dtype=np.uint32)
+BLOCK = 2048
+_SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)
 
 
 def _second(x: np.ndarray) -> np.ndarray:
@@ -54,15 +48,9 @@ def signature(shingle_set: np.ndarray) -> np.ndarray:
     return out
 
 
-def four_bits(coordinates: np.ndarray) -> bytes:
-    """The low four bits of each coordinate, two to a byte."""
-    low = (coordinates & np.uint32(15)).astype(np.uint8)
-    return (low[::2] << 4 | low[1::2]).tobytes()
-
-
 def bands(coordinates: np.ndarray) -> np.ndarray:
     """One 64-bit key per band."""
-    rows = coordinates[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
+    rows = coordinates.reshape(BANDS, ROWS).astype(np.uint64)
     key = np.arange(BANDS, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for i in range(ROWS):
@@ -79,26 +67,23 @@ def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the shingle set, band keys, four bits of each
-    coordinate; no words: nulls."""
+    """doc_id, n_shingles, digest of the shingle set, band keys; no words: nulls."""
     bound_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, keys, marks = [], [], [], []
+            counts, digests, keys = [], [], []
             for found in _sets(batch.column(1), size):
                 counts.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                signed = signature(found) if len(found) else None
-                keys.append(None if signed is None else bands(signed))
-                marks.append(None if signed is None else four_bits(signed))
+                keys.append(bands(signature(found)) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
-                ["doc_id", "n_shingles", "digest", "bands", "marks"],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "digest", "bands"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n_shingles bigint, digest binary, bands array<bigint>, marks binary")
+    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n_shingles bigint, digest binary, bands array<bigint>")
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -122,48 +107,64 @@ def _compare(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return rows.select("a", "b", "left", "right").mapInArrow(compare, f"a {kind}, b {kind}, shared bigint, either bigint")
 
 
-def _block_pairs(bands_of: np.ndarray, marks: np.ndarray, apart: np.ndarray, own: np.ndarray, led: np.ndarray, node: np.ndarray, queries: int, key: int) -> tuple:
-    """Places of query and target of each pair to compare; queries come first.
-    A pair is listed in the first band that it shares only."""
-    found = []
+def _block_links(flat: np.ndarray, begin: np.ndarray, apart: np.ndarray, own: np.ndarray, led: np.ndarray, node: np.ndarray, queries: int) -> tuple:
+    """Places of query and target of links that join all components of the block
+    that any link joins; queries come first.  ``flat`` has the sets one after the
+    other, each from its ``begin`` on."""
+    size = np.diff(np.append(begin, len(flat)))
+    code = np.unique(flat, return_inverse=True)[1]
+    marked = np.zeros(len(flat), bool)
+    inside, own, found = own == led, own.copy(), []
     for q in range(queries):
         t = np.arange(queries, len(node))
-        t = t[(own[t] != own[q]) & (np.abs(apart[t] - apart[q]) <= RING) & ((own[t] == led[t]) | (node[q] < node[t]))]
-        if len(t):
-            unlike = marks[t] ^ marks[q]
-            equal = ((unlike & 0xF0) == 0).sum(axis=1) + ((unlike & 0x0F) == 0).sum(axis=1)
-            t = t[equal >= LEAST_EQUAL * COORDINATES]
-        if len(t):
-            first = (bands_of[t] == bands_of[q]).argmax(axis=1)
-            t = t[bands_of[q][first] == key]
-            found.append((np.full(len(t), q), t))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int))
-
-
-def _search(rows: DataFrame, heads: DataFrame) -> DataFrame:
-    """Pairs (a, b) left to compare: in each bucket with members outside the
-    leader's component, these against all members, in blocks."""
+        t = t[(own[t] != own[q]) & (np.abs(apart[t] - apart[q]) <= RING) & (inside[t] | (node[q] < node[t]))]
+        t = t[100 * np.minimum(size[t], size[q]) >= PERCENT * np.maximum(size[t], size[q])]
+        if not len(t):
+            continue
+        mine = code[begin[q] : begin[q] + size[q]]
+        marked[mine] = True
+        first = np.cumsum(size[t]) - size[t]
+        at = np.arange(size[t].sum()) + np.repeat(begin[t] - first, size[t])
+        shared = np.add.reduceat(marked[code[at]], first, dtype=np.int64)
+        marked[mine] = False
+        t = t[100 * shared >= PERCENT * (size[t] + size[q] - shared)]
+        for joined, x in zip(*np.unique(own[t], return_index=True), strict=True):
+            found.append((q, t[x]))
+            own[own == joined] = own[q]
+    return tuple(np.array(found, int).reshape(-1, 2).T)
+
+
+def _search(rows: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Links (a, b) left to find: in each bucket with members outside the leader's
+    component, these against all members, in blocks, by their full sets.  A block
+    gives a link for each two components that it joins, so at most one a member."""
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in _sets(batch.column(1), size)], pa.binary())], ["node", "hashes"])
+
     hot = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("own") != F.col("led")).alias("open")).where("open")
     rows = rows.join(hot.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "key")
+    wanted = texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", "text")
+    rows = rows.join(wanted.mapInArrow(full, f"node {texts.schema['node'].dataType.simpleString()}, hashes binary"), "node")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    parts = [
-        rows.where("own <> led").select("key", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(0).alias("role"), "node", "own", "led", "apart"),
-        rows.select("key", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(1).alias("role"), "node", "own", "led", "apart"),
-    ]
-    rows = parts[0].unionByName(parts[1]).join(heads, "node")
-    names = ["key", "i", "j", "role", "node", "own", "led", "apart", "bands", "marks"]
+    names = ["key", "i", "j", "role", "node", "own", "led", "apart", "hashes"]
+    # A query meets each block, and each query's block meets all others.
+    asked = F.struct(F.col("block").alias("i"), F.col("other").alias("j"), F.lit(0).alias("role"))
+    meant = F.struct(F.col("other").alias("i"), F.col("block").alias("j"), F.lit(1).alias("role"))
+    rows = rows.withColumn("as", F.explode(F.when(F.col("own") != F.col("led"), F.array(asked, meant)).otherwise(F.array(meant)))).select("*", "as.*")
     rows = rows.select(*names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(table: pa.Table) -> pa.RecordBatch:
             value = {c: table[c].to_numpy() for c in names[:8]}
-            sets = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-            marks = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint8).reshape(-1, COORDINATES // 2)
+            sets = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
             a, b = [], []
             edge = np.flatnonzero((np.diff(value["key"]) != 0) | (np.diff(value["i"]) != 0) | (np.diff(value["j"]) != 0)) + 1
             for lo, hi in zip([0, *edge], [*edge, len(sets)], strict=True):
                 queries = int((value["role"][lo:hi] == 0).sum())
-                q, t = _block_pairs(sets[lo:hi], marks[lo:hi], value["apart"][lo:hi], value["own"][lo:hi], value["led"][lo:hi], value["node"][lo:hi], queries, value["key"][lo])
+                begin = np.cumsum([0, *map(len, sets[lo : hi - 1])])
+                q, t = _block_links(np.concatenate(sets[lo:hi]), begin, *(value[c][lo:hi] for c in ("apart", "own", "led", "node")), queries)
                 a.append(np.minimum(value["node"][lo + q], value["node"][lo + t]))
                 b.append(np.maximum(value["node"][lo + q], value["node"][lo + t]))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
@@ -196,15 +197,14 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     real = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = settle(real.groupBy("digest").agg(F.min("doc_id").alias("class_id")))
     heads = real.join(classes, (real["doc_id"] == classes["class_id"]) & (real["digest"] == classes["digest"]))
-    heads = heads.select(F.col("doc_id").alias("node"), "bands", "marks").distinct()
+    heads = heads.select(F.col("doc_id").alias("node"), "bands").distinct()
     keys = heads.select(F.explode("bands").alias("key"), "node")
     buckets = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").drop("last")
     members = settle(keys.join(buckets, "key"))
     involved = members.select("node").distinct()
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(involved, "node", "left_semi")
     texts = settle(texts.dropDuplicates(["node"]))
-    signs = settle(heads.join(involved, "node", "left_semi").dropDuplicates(["node"]))
-    found = link(members, lambda pairs: _compare(pairs, texts, size), lambda rows: _search(rows, signs))
+    found = link(members, lambda pairs: _compare(pairs, texts, size), lambda rows: _search(rows, texts, size))
     named = signed.join(classes, "digest", "left").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
     # Texts of one doc_id may differ; the document has the least of their components.
     component = F.least(F.coalesce("component", "class_id", "doc_id"), F.col("doc_id"))

@@ -92,6 +92,25 @@ def test_a_large_group_of_variants_keeps_every_link(spark):
     assert got == brute_components(texts, 2)
 
 
+def test_a_searched_bucket_gives_a_link_a_component_only():
+    rng = random.Random(5)
+    sets = [np.array(sorted({hash(w) % 2**63 for w in zip(x.split(), x.split()[1:])}), np.uint64) for x in [*variants(rng, 90), *shared_passage(rng, 90)]]
+    n = len(sets)
+    pair = [len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8 for i in range(n) for j in range(i + 1, n)]
+    union = Union()
+    for (i, j), linked in zip(((i, j) for i in range(n) for j in range(i + 1, n)), pair, strict=True):
+        if linked:
+            union.join(i, j)
+    both, node = [*sets, *sets], np.tile(np.arange(n), 2)
+    begin = np.cumsum([0, *map(len, both[:-1])])
+    q, t = near_dup._block_links(np.concatenate(both), begin, np.zeros(2 * n), node, np.full(2 * n, -1), node, n)
+    got = Union()
+    for i, j in zip(node[q].tolist(), node[t].tolist(), strict=True):
+        got.join(i, j)
+    assert [got.find(i) for i in range(n)] == [union.find(i) for i in range(n)]
+    assert len(q) < n < sum(pair)
+
+
 def test_near_duplicates_awkward_rows(spark):
     rows = near_dup.near_duplicates(documents(spark), 2).collect()
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows}
