@@ -136,6 +136,24 @@ def test_components_of_chains_and_loops(spark):
     assert common.connected_components(empty).collect() == []
 
 
+def test_components_are_the_same_on_the_driver(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(230)]
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    own = sorted(common.connected_components(edges).collect())
+    monkeypatch.setattr(common, "AT_ONCE", 0)
+    assert own == sorted(common.connected_components(edges).collect())
+
+
+def test_few_edges_take_few_steps(spark):
+    spark.createDataFrame([(i, i + 1) for i in range(99)], "src long, dst long").createOrReplaceTempView("chain_of_edges")
+    spark.sparkContext.setJobGroup("few-edges", "")
+    common.connected_components(spark.table("chain_of_edges")).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few-edges")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 12
+
+
 def test_lines_awkward_rows(spark):
     docs = documents(spark)
     rows = line_dedup.dedup_lines(docs).collect()
