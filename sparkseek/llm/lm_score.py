@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from .textkernel import Words, mix64, slices, utf8
 #: Words that are leaves of their own, slots of all others (a power of two), words
 #: that share a leaf below a slot on average, at most, and nodes below the slots.
 LISTED, SLOTS, SHARED, BELOW = 65_536, 1024, 16, 65_536
+#: The most visited nodes, which a step computes for all its windows by matrix products.
+BUSY = 127
 #: Buckets of context words, hidden units, words on each side.
 CONTEXT, HIDDEN, SIDE = 2048, 16, 2
 #: Rounds of averaging, which share all windows out among them; learning rate; windows of a step.
@@ -59,6 +62,28 @@ def _slot(bits: int) -> Column:
 SLOT_BITS = SLOTS.bit_length() - 1
 
 
+class Steps(NamedTuple):
+    """The ways to a batch of words, in three parts.
+
+    The ``busy`` nodes come as a table with a row for each word: twice the column in
+    that range, plus the side; the column behind the last stands for no step.  Then
+    single steps (``place`` of the word, ``node``, ``side``), of which those of the
+    word ``own`` begin at ``first``, and for the words ``rest`` tables of the nodes
+    and sides ``below`` their slots.
+    """
+
+    busy: slice
+    table: np.ndarray
+    own: np.ndarray
+    first: np.ndarray
+    place: np.ndarray
+    node: np.ndarray
+    side: np.ndarray
+    rest: np.ndarray
+    below: np.ndarray
+    below_side: np.ndarray
+
+
 class Vocabulary:
     """A Huffman tree over the listed words and the slots of all others.
 
@@ -91,11 +116,18 @@ class Vocabulary:
             sides.append(right[at])
             at = np.where(up[at] >= 0, up[at], at)
         nodes, sides = (np.array(x).reshape(len(nodes), n).T for x in (nodes, sides))
-        on = nodes >= 0
+        self.inner = len(odds)
+        # Nodes are made from the least to the most visited one, so a way ends in its busy part.
+        self.busy = slice(max(0, self.inner - BUSY), self.inner)
+        code = 2 * nodes + sides
+        on = nodes >= self.busy.start
+        pad = 2 * (self.busy.stop - self.busy.start)
+        table = np.sort(np.where(on, code - 2 * self.busy.start, pad), axis=1)  # no step comes last
+        self.table = np.ascontiguousarray(table[:, : on.sum(axis=1).max(initial=0)], np.int16)
+        on = (nodes >= 0) & ~on
         self.length = on.sum(axis=1)
         self.begin = np.cumsum(self.length) - self.length
-        self.nodes, self.sides = nodes[on].astype(np.int32), sides[on]
-        self.inner = len(odds)
+        self.code = code[on].astype(np.int32)
         self.prior = np.concatenate((odds, np.zeros(BELOW if depth else 0))).astype(np.float32)
 
     def listed(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,25 +135,29 @@ class Vocabulary:
         leaf = self.slot_leaf[(words >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
         if not len(self.words):
             return leaf, np.zeros(len(words), bool)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        hit = self.words[at] == words
+        # Words are hashes: few listed ones share their first 18 bits.
+        n = np.bincount((self.words >> np.uint64(46)).astype(np.int64), minlength=1 << 18)
+        at = (np.cumsum(n) - n).take((words >> np.uint64(46)).astype(np.int64))
+        np.minimum(at, len(self.words) - 1, out=at)
+        for _ in range(n.max() - 1):
+            at += self.words.take(at) < words
+            np.minimum(at, len(self.words) - 1, out=at)
+        hit = self.words.take(at) == words
         return np.where(hit, at, leaf), hit
 
-    def paths(self, words: np.ndarray, leaf: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place of the word, node, side) of all steps to each word."""
-        length = self.length[leaf]
+    def paths(self, words: np.ndarray, leaf: np.ndarray, hit: np.ndarray) -> Steps:
+        """All steps to each word."""
+        length = self.length.take(leaf)
+        first = np.cumsum(length) - length
         place = np.repeat(np.arange(len(words)), length)
-        at = np.arange(len(place)) + np.repeat(self.begin[leaf] - (np.cumsum(length) - length), length)
-        node, side = self.nodes[at], self.sides[at]
-        rest = np.flatnonzero(~hit)
-        if self.depth and len(rest):
-            steps = [(place, node, side)]
-            for t in range(1, self.depth + 1):
-                prefix = words[rest] >> np.uint64(64 - SLOT_BITS - t)
-                below = mix64((prefix >> np.uint64(1)) * np.uint64(64) + np.uint64(t)) % np.uint64(BELOW)
-                steps.append((rest, (self.inner + below.astype(np.int64)).astype(np.int32), (prefix & np.uint64(1)).astype(bool)))
-            place, node, side = (np.concatenate(x) for x in zip(*steps, strict=True))
-        return place, node, side
+        code = self.code.take(np.arange(len(place)) + (self.begin.take(leaf) - first).take(place))
+        own = np.flatnonzero(length)
+        rest = np.flatnonzero(~hit) if self.depth else np.empty(0, np.int64)
+        t = np.arange(1, self.depth + 1, dtype=np.uint64)
+        prefix = words[rest, None] >> (np.uint64(64 - SLOT_BITS) - t)
+        below = mix64((prefix >> np.uint64(1)) * np.uint64(64) + t) % np.uint64(BELOW)
+        table = self.table.take(leaf, 0).astype(np.int64)
+        return Steps(self.busy, table, own, first[own], place, (code >> 1).astype(np.int64), (code & 1).astype(np.float32), rest, self.inner + below.astype(np.int64), (prefix & np.uint64(1)).astype(np.float32))
 
 
 def vocabulary(counts: DataFrame) -> tuple[Vocabulary, DataFrame]:
@@ -142,13 +178,14 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, DataFrame]:
     return tree, shares
 
 
-def _sums(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, how often each occurs, and the sums of their rows."""
-    if (keys[1:] < keys[:-1]).any():
-        order = np.argsort(keys)
-        keys, rows = keys[order], rows[order]
-    first = np.flatnonzero(np.diff(keys, prepend=-1))
-    return keys[first], np.diff(np.append(first, len(keys))), np.add.reduceat(rows, first)
+def _pairs(rows: np.ndarray) -> np.ndarray:
+    """Rows of numbers as rows of half as many pairs, which numpy adds at once."""
+    return rows.view(np.complex64)
+
+
+def _at(rows: np.ndarray) -> np.ndarray:
+    """Places of the pairs of some rows of hidden units in the flat table."""
+    return (rows.reshape(-1, 1) * (HIDDEN // 2) + np.arange(HIDDEN // 2)).reshape(-1)
 
 
 class Network:
@@ -166,38 +203,81 @@ class Network:
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         """Hidden units for (n, 2 * SIDE) buckets."""
-        h = self.shift + self.table[0][context[:, 0]]
+        places = np.ascontiguousarray(context.T, np.intp)
+        h = self.shift + self.table[0].take(places[0], 0)
         for p in range(1, 2 * SIDE):
-            h += self.table[p][context[:, p]]
+            h += self.table[p].take(places[p], 0)
         return np.tanh(h)
 
-    def score(self, context: np.ndarray, place: np.ndarray, node: np.ndarray, side: np.ndarray) -> np.ndarray:
+    def busy(self, steps: Steps) -> tuple[np.ndarray, np.ndarray]:
+        """Units and priors of the busy nodes, and a last one that is surely passed on the left."""
+        n = steps.busy.stop - steps.busy.start
+        out, prior = np.zeros((n + 1, HIDDEN), np.float32), np.full(n + 1, -100, np.float32)
+        out[:n], prior[:n] = self.out[steps.busy], self.prior[steps.busy]
+        return out, prior
+
+    def score(self, context: np.ndarray, steps: Steps) -> np.ndarray:
         """Log probability of the leaf at the end of each window's path."""
-        h = self.hidden(context)
-        z = np.einsum("ij,ij->i", self.out[node], h[place]) + self.prior[node]
-        z = np.clip(np.where(side, -z, z), -30, 80)
-        return np.bincount(place, -np.log(1 + np.exp(z)), minlength=len(context))
 
-    def step(self, context: np.ndarray, place: np.ndarray, node: np.ndarray, side: np.ndarray) -> None:
-        if not len(node):
+        def cost(z: np.ndarray, side: np.ndarray) -> np.ndarray:
+            return np.log(1 + np.exp(np.clip(z * (1 - 2 * side), -30, 80)))
+
+        h = self.hidden(context)
+        out, prior = self.busy(steps)
+        column = steps.table >> 1
+        z = (h @ out.T).reshape(-1).take(column + len(prior) * np.arange(len(h))[:, None]) + prior.take(column)
+        total = cost(z, (steps.table & 1).astype(np.float32)).sum(axis=1, dtype=float)
+        z = np.einsum("ij,ij->i", self.out.take(steps.node, 0), h.take(steps.place, 0)) + self.prior.take(steps.node)
+        total += np.bincount(steps.place, cost(z, steps.side), minlength=len(h))
+        z = np.einsum("ijk,ik->ij", self.out.take(steps.below, 0), h.take(steps.rest, 0)) + self.prior.take(steps.below)
+        total[steps.rest] += cost(z, steps.below_side).sum(axis=1, dtype=float)
+        return -total
+
+    def step(self, context: np.ndarray, steps: Steps) -> None:
+        if not len(context):
             return
+
+        def slope(z: np.ndarray, side: np.ndarray) -> np.ndarray:
+            return 1 / (1 + np.exp(-np.clip(z, -30, 30))) - side
+
         h = self.hidden(context)
-        weights, inputs = self.out[node], h[place]
-        z = np.einsum("ij,ij->i", weights, inputs) + self.prior[node]
-        slope = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - side).astype(np.float32)[:, None]
-        own, _, sums = _sums(place, slope * weights)
-        back = np.zeros_like(h)
-        back[own] = sums
+        out, prior = self.busy(steps)
+        column = steps.table >> 1
+        at = column + len(prior) * np.arange(len(h))[:, None]
+        z = (h @ out.T).reshape(-1).take(at) + prior.take(column)
+        busy = np.zeros((len(h), len(prior)), np.float32)
+        busy.reshape(-1)[at] = slope(z, (steps.table & 1).astype(np.float32))
+        back = busy @ out
+
+        weights, inputs = self.out.take(steps.node, 0), h.take(steps.place, 0)
+        single = slope(np.einsum("ij,ij->i", weights, inputs) + self.prior.take(steps.node), steps.side)
+        if len(single):
+            weights *= single[:, None]
+            back[steps.own] += np.add.reduceat(_pairs(weights), steps.first).view(np.float32)
+
+        weights, own = self.out.take(steps.below, 0), h.take(steps.rest, 0)
+        below = slope(np.einsum("ijk,ik->ij", weights, own) + self.prior.take(steps.below), steps.below_side)
+        back[steps.rest] += np.einsum("ij,ijk->ik", below, weights)
+
         back *= (1 - h * h) / len(h)
-        own, visits, sums = _sums(node, np.concatenate((slope * inputs, slope), axis=1))
+
         # Seldom visited nodes take smaller steps, as one visit says little.
-        sums *= (RATE * 10 / (visits + 8)).astype(np.float32)[:, None]
-        self.out[own] -= sums[:, :-1]
-        self.prior[own] -= sums[:, -1]
+        visits = np.bincount(column.reshape(-1), minlength=len(prior))[:-1]
+        rate = (RATE * 10 / (visits + 8)).astype(np.float32)
+        self.out[steps.busy] -= (h.T @ busy).T[:-1] * rate[:, None]
+        self.prior[steps.busy] -= (np.ones(len(h), np.float32) @ busy)[:-1] * rate
+        node = np.concatenate((steps.node, steps.below.reshape(-1)))
+        if len(node):
+            visits = np.bincount(node).take(node)
+            single = np.concatenate((single, below.reshape(-1))) * (RATE * 10 / (visits + 8)).astype(np.float32)
+            inputs = np.concatenate((inputs, np.repeat(own, steps.below.shape[1], axis=0)))
+            inputs *= single[:, None]
+            np.subtract.at(_pairs(self.out).reshape(-1), _at(node), _pairs(inputs).reshape(-1))
+            np.subtract.at(self.prior, node, single)
         self.shift -= RATE * 10 * back.sum(axis=0)
+        back *= RATE * 200
         for p in range(2 * SIDE):
-            own, _, sums = _sums(context[:, p], back)
-            self.table[p][own] -= RATE * 200 * sums
+            np.subtract.at(_pairs(self.table[p]).reshape(-1), _at(context[:, p].astype(np.intp)), _pairs(back).reshape(-1))
 
 
 def _contexts(words: Words) -> np.ndarray:
@@ -233,12 +313,12 @@ def train(docs: DataFrame, words: Vocabulary) -> Network:
                     picked = _picked(block, turn)
                     if not len(picked):
                         continue
-                    context = _contexts(block)[picked]
-                    order = np.random.default_rng(0).permutation(len(picked))
+                    order = picked[np.random.default_rng(0).permutation(len(picked))]
+                    context, target = _contexts(block).take(order, 0), block.hash[order]
+                    leaf, listed = words.listed(target)
                     for at in range(0, len(order), BATCH):
-                        some = order[at : at + BATCH]
-                        target = block.hash[picked[some]]
-                        own.step(context[some], *words.paths(target, *words.listed(target)))
+                        some = slice(at, at + BATCH)
+                        own.step(context[some], words.paths(target[some], leaf[some], listed[some]))
                     seen += len(picked)
             if seen:
                 gap = (own.flat - flat) * np.float32(seen)
@@ -281,9 +361,9 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
                 n = len(block.hash)
                 leaf, listed = words.listed(block.hash)
                 total, context = np.empty(n), _contexts(block)
-                for at in range(0, n, 16_384):
-                    part = slice(at, min(at + 16_384, n))
-                    total[part] = model.score(context[part], *words.paths(block.hash[part], leaf[part], listed[part]))
+                for at in range(0, n, BATCH):
+                    part = slice(at, at + BATCH)
+                    total[part] = model.score(context[part], words.paths(block.hash[part], leaf[part], listed[part]))
                 running = np.concatenate(([0.0], np.cumsum(total)))
                 counts.append(np.diff(block.row_words))
                 sums.append(np.diff(running[block.row_words]))
