@@ -272,3 +272,42 @@ def test_bit_tables_let_every_member_through(spark):
         got = common.has_bit(rows, "h", common.bit_table(rows.where("member").select("h")))
         let = got.agg(F.count("*"), F.count_if(F.col("member") & F.col("bit")), F.count_if(~F.col("member") & F.col("bit"))).first()
         assert let[0] == 2 * n + 10 and let[1] == n and let[2] <= 0.13 * n + 5
+
+
+def line_family(rng, n):
+    """Copies of one line with from three to thirty words of its hundred replaced."""
+    base = [f"word{rng.randint(0, 10**6)}" for _ in range(100)]
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(100), 3 + 27 * i // n):
+            words[at] = f"new{rng.randint(0, 10**6)}"
+        yield " ".join(words)
+
+
+def test_tables_of_bits_tell_far_lines_apart_and_lose_no_link(spark):
+    lines = dict(enumerate([*line_family(random.Random(3), 80), "short", "shorter", "-" * 300]))
+    rows = line_dedup._tables(spark.createDataFrame(list(lines.items()), "node bigint, line string")).collect()
+    bits = {r.node: [r[f"w{i}"] % 2**64 for i in range(line_dedup.WORDS)] for r in rows}
+    sets = {i: every_window(x) for i, x in lines.items()}
+    far = let = 0
+    for i in lines:
+        for j in range(i):
+            shared, windows = len(sets[i] & sets[j]), max(len(lines[i]) - 7, 1) + max(len(lines[j]) - 7, 1)
+            near = 180 * sum((x ^ y).bit_count() for x, y in zip(bits[i], bits[j], strict=True)) <= 20 * windows
+            alike = shared / (len(sets[i]) + len(sets[j]) - shared)
+            assert near or alike < 0.8
+            far, let = far + (alike < 0.6), let + (alike < 0.6 and near)
+    assert len(bits) == len(lines) and far > 1000 and let < 0.01 * far
+
+
+def test_an_open_bucket_is_dealt_once_and_loses_no_link(spark):
+    lines = dict(enumerate(line_family(random.Random(8), 60), 1))
+    texts = spark.createDataFrame([(i, [7, 9], x) for i, x in lines.items()], "node bigint, keys array<bigint>, line string")
+    rows = spark.createDataFrame([(7, i, 0.3, i, 1) for i in lines], "key bigint, node bigint, apart double, own bigint, led bigint")
+    found = line_dedup._search(rows, texts)
+    got = {(r.a, r.b) for r in found.collect()}
+    sets = {i: every_window(x) for i, x in lines.items()}
+    want = {(i, j) for j in lines for i in range(1, j) if 1.8 * len(sets[i] & sets[j]) >= 0.8 * (len(sets[i]) + len(sets[j]))}
+    assert want and got >= want and len(got) <= 1.3 * len(want) + 5
+    dealt = re.findall(r"\n\W*(ReusedExchange|Exchange hashpartitioning\(key|Join|SortMergeJoin|ShuffledHashJoin)", found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+    assert "ReusedExchange" in dealt, dealt
