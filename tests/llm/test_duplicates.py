@@ -1,5 +1,7 @@
+import gc
 import random
 import re
+import weakref
 
 import numpy as np
 import pytest
@@ -311,3 +313,15 @@ def test_an_open_bucket_is_dealt_once_and_loses_no_link(spark):
     assert want and got >= want and len(got) <= 1.3 * len(want) + 5
     dealt = re.findall(r"\n\W*(ReusedExchange|Exchange hashpartitioning\(key|Join|SortMergeJoin|ShuffledHashJoin)", found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
     assert "ReusedExchange" in dealt, dealt
+
+
+def test_files_of_finished_steps_go_before_the_texts_are_dealt(spark, monkeypatch):
+    """Only the marked lines are held while the documents are shuffled."""
+    held = []
+    monkeypatch.setattr(line_dedup, "settle", lambda df: held.append(weakref.ref(out := common.settle(df))) or out)
+    rng = random.Random(4)
+    rows = [(i, "\n".join([x, "found everywhere"]), "en", "a") for i, x in enumerate(line_family(rng, 30))]
+    extra = line_dedup.duplicate_lines(documents(spark, rows))
+    gc.collect()
+    assert len(held) >= 7 and sum(x() is not None for x in held) <= 1
+    assert extra.count() >= 29
