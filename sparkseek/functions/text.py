@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .stemmer import stem
+from .stemmer import starts, stem
 
 #: The stop words of the English analyzer.
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
@@ -21,13 +23,19 @@ def words(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stemmed(tokens: pd.Series) -> pd.Series:
-    # A word is stemmed once a batch, however often it stands in it.
-    known: dict[str, str] = {}
-    for row in tokens:
-        known.update((t, stem(t)) for t in set(row if row is not None else ()) - known.keys())
-    return tokens.map(lambda row: None if row is None else [known[t] for t in row])
+def _stemmed(tokens: Column, begins: tuple[str, ...] = ("",)) -> Column:
+    """The stems of words with one of these beginnings, and all others as they are."""
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def stems(tokens: pa.Array) -> pa.Array:
+        # A word is stemmed once a batch, however often it stands in it.
+        flat = tokens.flatten().dictionary_encode()
+        found = pa.array([stem(t) if t.startswith(begins) else t for t in flat.dictionary.to_pylist()], pa.string())
+        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(tokens), 0)).cast(pa.int32())
+        offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+        return pa.ListArray.from_arrays(offsets, found.take(flat.indices), mask=tokens.is_null())
+
+    return stems(tokens)
 
 
 class Analyzer:
@@ -38,11 +46,27 @@ class Analyzer:
         self.stop = "english_stop" in filters
         self.stems = "english_stemmer" in filters
 
-    def column(self, text: Column) -> Column:
+    def column(self, text: Column, wanted: list[str] | None = None) -> Column:
+        """The tokens of a text; with ``wanted`` ones, words that cannot have one of
+        these for their stem are left as they are."""
         tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-        if self.stems:
-            tokens = _stemmed(tokens)
-        return tokens
+        if not self.stems or wanted == []:
+            return tokens
+        if wanted is None:
+            return _stemmed(tokens)
+        begins = list(dict.fromkeys(b for t in wanted for b in starts(t)))
+        low = F.lower(text)
+        # Only texts that have such words go to Python.
+        some = reduce(Column.__or__, [low.contains(b) for b in begins])
+        return F.coalesce(_stemmed(F.when(some, tokens), tuple(begins)), tokens)
+
+    def may_hold(self, text: Column, tokens: list[str]) -> Column:
+        """Whether a text has what these tokens are made of as parts of it: true
+        wherever they all are."""
+        if not self.stems:
+            return holds(text, tokens)
+        low = F.lower(text)
+        return reduce(Column.__and__, [reduce(Column.__or__, [low.contains(b) for b in starts(t)]) for t in dict.fromkeys(tokens)], F.lit(True))
 
     def normal(self, token: str) -> str:
         return stem(token) if self.stems else token

@@ -33,7 +33,8 @@ def bm25(df: DataFrame, schema: Schema, compiled: Compiled) -> DataFrame:
     names = {key: f"__tokens{i}" for i, key in enumerate(columns)}
     rows = df
     for (column, filters), name in names.items():
-        rows = rows.withColumn(name, F.coalesce(text.Analyzer(filters).column(F.expr(column)), F.array().cast("array<string>")))
+        wanted = [t for f, t, _ in compiled.ranked if (f.column, f.filters) == (column, filters)]
+        rows = rows.withColumn(name, F.coalesce(text.Analyzer(filters).column(F.expr(column), wanted), F.array().cast("array<string>")))
     aggregates = [F.count("*").cast("double").alias("__n")]
     aggregates += [F.avg(F.size(n)).alias(f"{n}_avg") for n in names.values()]
     aggregates += [F.count_if(text.has_token(F.col(names[f.column, f.filters]), t)).cast("double").alias(f"__df{i}") for i, (f, t, _) in enumerate(compiled.ranked)]

@@ -160,7 +160,6 @@ class _Compiler:
         if t.kind == "word" and len(every) == 1 and not query:
             self.warn(f"{t.value} is a stop word: searched for between word ends")
             return text.word_bounded(column, every[0])
-        tokens = analyzer.column(column)
         literal = F.coalesce(F.lower(column).contains(t.value.lower()), F.lit(False))
         if not every:
             return literal if t.value.strip() else F.lit(False)
@@ -170,12 +169,12 @@ class _Compiler:
         if t.fuzzy and t.kind == "word":
             if t.boost is not None:
                 self.warn("a boost has no effect on a fuzzy term")
-            return text.has_fuzzy_run(tokens, query, t.fuzzy)
+            return text.has_fuzzy_run(analyzer.column(column), query, t.fuzzy)
         for _, token in query:
             self.out.ranked.append((f, token, 1.0 if t.boost is None else t.boost))
-        if not analyzer.stems:
-            # Only texts that hold the words at all are cut into tokens.
-            tokens = F.when(text.holds(column, [token for _, token in query]), tokens)
+        # Only texts that hold the words at all are cut into tokens.
+        wanted = [token for _, token in query]
+        tokens = F.when(analyzer.may_hold(column, wanted), analyzer.column(column, wanted))
         if len(query) == 1:
             hit = text.has_token(tokens, query[0][1])
             if len(every) > 1:

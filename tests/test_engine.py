@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 import __spark_entry__ as driver
 from sparkseek import cli
 from sparkseek import queries as registered
+from sparkseek.functions import stemmer, text
 from sparkseek.functions.stemmer import stem
 from sparkseek.operators import index, introspect
-from sparkseek.operators.search import COMPARES, conform, matching, search
+from sparkseek.operators.search import COMPARES, bm25, conform, matching, search
 from sparkseek.plans.compiler import CompileError, compile_query, warning_comment
 from sparkseek.plans.grammar import And, Bound, Not, Or, Term, parse
 from sparkseek.plans.schema import SchemaError, load, preset, preset_names
@@ -254,3 +255,33 @@ def test_nothing_imports_the_corpus_operators():
         for name in names:
             if name.endswith(".py") and "llm" not in base.split(os.sep):
                 assert not re.search(r"\bllm\b", open(os.path.join(base, name)).read()), name
+
+
+def test_words_with_a_stem_begin_as_they_may():
+    rng = random.Random(4)
+    ends = [*(x for x, _ in stemmer._STEP_2 + stemmer._STEP_3), *stemmer._STEP_4, "s", "ies", "ied", "sses", "ed", "ing", "edly", "eedly", "y", "e", "ll", "ly", "bl"]
+    words = ["".join(rng.choice("abeilnostyz") for _ in range(rng.randint(0, 5))) + "".join(rng.choices(ends, k=rng.randint(1, 3))) for _ in range(40_000)]
+    assert [w for w in [*words, *stemmer._EXCEPTIONS, "日本", "x1s", "a"] if not w.startswith(tuple(stemmer.starts(stem(w))))] == []
+
+
+def test_only_texts_that_may_have_the_stem_go_to_python(spark, monkeypatch):
+    stems = registered.documents(("english_stop", "english_stemmer"))
+    lines = ["tying a table", "untied tables", "it ties", "he is happily able to table it", "", None, "a tabled tie", "the tablets", "İtying tables"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id int, text string")
+    whole = {i: [stem(t) for t in text.words(x or "")] for i, x in enumerate(lines)}
+    find = lambda q: {r.doc_id for r in matching(docs, stems, q).collect()}
+    for word in ("tie", "ti", "tabl", "happili", "abl", "it"):
+        query = text.Analyzer(("english_stop", "english_stemmer")).query(word)
+        assert find(word) == {i for i, t in whole.items() if query and query[0][1] in t} or not query
+    assert find('"table tie"') == {6} and find("able -tie") == {3} and find("-tie") == set(whole) - find("tie")
+    plan = matching(docs, stems, "tie")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"ArrowEvalPython|Python", plan) and re.search(r"stems\(.*CASE WHEN.*Contains", plan)
+
+
+def test_scores_of_stems_count_every_form(spark):
+    stems = registered.documents(("english_stop", "english_stemmer"))
+    docs = spark.createDataFrame([(1, "tables and tables"), (2, "a table of two tabled chairs"), (3, "chairs"), (4, None)], "doc_id int, text string")
+    plain = docs.withColumn("text", F.replace(F.replace(F.replace("text", F.lit("tables"), F.lit("tabl")), F.lit("tabled"), F.lit("tabl")), F.lit("table "), F.lit("tabl ")))
+    score = lambda rows, schema, q: {r.doc_id: round(r.score, 9) for r in bm25(rows, schema, compile_query(q, schema)).collect()}
+    got = score(docs, stems, "tables")
+    assert got == score(plain, registered.documents(), "tabl") and got[1] > got[2] > 0 == got[3] == got[4]
