@@ -107,6 +107,10 @@ def _json(fields: Column) -> Column:
     return F.get(F.transform(F.array(F.map_entries(fields)), build), 0)
 
 
+def _message(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(text, '^"', ""), '"$', ""))
+
+
 def parse_lines(df: DataFrame, line: str = "message", runtime: str | None = None, container: str | None = None, service: str | None = None) -> DataFrame:
     """``df`` with ts, level, source_file, msg, kv (map), format and raw.
 
@@ -123,8 +127,10 @@ def parse_lines(df: DataFrame, line: str = "message", runtime: str | None = None
     fmt = F.col("format")
     parts = F.when(fmt == "tidb", _tidb(text)).when(fmt == "klog", _klog(text)).when(fmt.isin("zap", "tracing"), _iso(text, fmt)).when(fmt == "json", _json(fields)).otherwise(_parts(msg=text))
     none = F.array().cast("array<struct<key:string,value:string>>")
-    # As arrays of one, so that nothing is worked out more than once a line.
-    rows = df.withColumn("format", kind).withColumn("__parts", F.explode(F.array(parts)))
+    # The format as an array of one, so that no filter works it out again; the parts as a
+    # column of their own, which goes where none of them is asked for (a filter on one
+    # works them out again for the rows that it keeps).
+    rows = df.withColumn("format", F.explode(F.array(kind))).withColumn("__parts", parts)
     entries = F.coalesce(F.col("__parts.entries"), none)
     if container:
         entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
@@ -132,7 +138,7 @@ def parse_lines(df: DataFrame, line: str = "message", runtime: str | None = None
         entries = F.concat(F.filter(before, lambda e: F.coalesce(e["value"], F.lit("")) != ""), entries, F.array(entry("format", fmt)))
     own = F.try_to_timestamp(F.col("__parts.ts"))
     seen = F.col(runtime).cast("timestamp") if runtime else F.lit(None).cast("timestamp")
-    msg = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(F.col("__parts.msg"), text), '^"', ""), '"$', ""))
+    msg = _message(F.coalesce(F.col("__parts.msg"), text))
     return (
         rows.withColumn("ts", F.coalesce(own, seen, F.current_timestamp()))
         .withColumn("level", F.coalesce(F.nullif(F.col("__parts.level"), F.lit("")), F.lit("UNKNOWN")))
@@ -145,8 +151,11 @@ def parse_lines(df: DataFrame, line: str = "message", runtime: str | None = None
 
 
 def without_table_art(df: DataFrame) -> DataFrame:
-    """Rows but for raw lines that draw a table."""
-    art = (F.col("format") == "raw") & F.col("msg").rlike(r"^[|+]")
+    """Rows but for raw lines that draw a table.
+
+    A raw line is its own message, so that no line is taken to pieces for this.
+    """
+    art = (F.col("format") == "raw") & _message(F.col("raw")).rlike(r"^[|+]")
     return df.where(~F.coalesce(art, F.lit(False)))
 
 

@@ -315,3 +315,14 @@ def test_lookups_beside_the_table_are_those_of_the_whole_index(spark, filters):
     compiled = compile_query("tables OR ties^2 OR tables^3", schema)
     want = {r.doc_id: round(r.score, 9) for r in bm25(docs, schema, compiled).where(compiled.predicate).collect()}
     assert score(built) == score(whole) == want and len(want) >= 2
+
+
+def test_table_art_goes_before_lines_are_taken_to_pieces(spark):
+    lines = ["| a | b |", "+---+", '"| quoted |"', ' "|"', "a | b", "", None, "|", '{"msg":"| in json |"}', '[2024/01/05 12:00:00.000 +00:00] [INFO] [a.rs:1] ["| in tidb |"] [k=v]', "2024-01-05T12:00:00.000Z  INFO | in tracing"]
+    rows = loglines.parse_lines(spark.createDataFrame(list(enumerate(lines)), "id int, message string"))
+    kept = loglines.without_table_art(rows)
+    by_message = {r.id for r in rows.collect() if not (r.format == "raw" and r.msg and r.msg[0] in "|+")}
+    assert {r.id for r in kept.collect()} == by_message == {3, 4, 5, 6, 8, 9, 10} | ({3} & by_message)
+    plan = kept.groupBy("format").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_entries" not in plan and "__parts" not in plan
+    assert kept.where("id = 8").first().msg == "| in json |"
